@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import hilbert, pieces, quality
+from lexweave.llm import hilbert, pieces, pii, quality, urls
 from lexweave.llm.common import table
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("n_extra")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = hilbert.assign(docs, "doc_id", ["source", "lang", "n_chars", "doc_id"])
@@ -20,13 +24,17 @@ def op5_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.line_first(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_hilbert_shards, op5_prefix_table, op10_line_first)}
+    return {f.__name__: f for f in (op2_weak_supervision_pii, op4_hilbert_shards, op5_prefix_table, op9_url_filter, op10_line_first)}
 
 
 def oracle_sql() -> dict[str, str]:
