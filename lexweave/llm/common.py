@@ -5,13 +5,17 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words are runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -44,6 +48,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rowwise(df: DataFrame, key: str, text: str, fields: str, start: Callable[[], Callable[[list], list]], name: str | None = None) -> DataFrame:
+    """key (called `name`, if given) and `fields` of each row. start() is called once for a task; what it returns gets the texts of
+    a batch and returns the columns. Keys stay in Arrow, so nulls and large integers come through."""
+    schema = T.StructType([T.StructField(name or key, df.schema[key].dataType), *T.StructType.fromDDL(fields)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = start()
+        for b in batches:
+            columns = made(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])]], schema=arrow)
+
+    return df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered for the words met so far. It forgets all when it has
     grown to `most` words, so that memory stays bounded."""

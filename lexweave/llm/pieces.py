@@ -25,9 +25,9 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lexweave.llm.common import rowwise
 
 SPACE = "▁"
 #: Words and their ids that a task remembers at most.
@@ -225,21 +225,20 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     Each batch of rows is encoded on its own, without a shuffle.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         encoder, decoder = Encoder(vocabulary.value), Decoder(vocabulary.value)
-        for b in batches:
+
+        def run(texts: list) -> list:
             rows = []
-            for k, t in zip(b["_key"], b["_text"]):
+            for t in texts:
                 data = encoder.encode(t or "")
                 ids = memoryview(data).cast("I")
                 back = decoder.decode(ids)
-                row = [k, len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()]
-                rows.append([*row, ids.tolist(), back] if keep else row)
-            out = pd.DataFrame(rows, columns=[key, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])])
-            out[key] = b["_key"].to_numpy()
-            yield out
+                row = (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest())
+                rows.append((*row, ids.tolist(), back) if keep else row)
+            return list(zip(*rows)) or [()] * (5 if keep else 3)
+
+        return run
 
-    return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInPandas(run, schema)
+    return rowwise(docs, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else ""), start)

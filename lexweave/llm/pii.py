@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexweave.llm.common import rowwise
+
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "name", "phone_local", "secret", "ssn")
 KINDS = (*BASE, *EXTRA)
@@ -279,20 +281,19 @@ def written(found: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone (base), n_extra, base_sha256, spans of each row."""
     weights = fit(docs, text)
-    kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def start():
+        def run(texts: list) -> list:
             rows = []
-            for t in b["_text"]:
+            for t in texts:
                 base, found = spans(t or "", weights, threshold)
                 n = Counter(k for _, k, _ in base)
-                rows.append([*(n[i] for i in range(len(BASE))), len(found) - len(base), hashlib.sha256(written(base).encode()).hexdigest(), written(found)])
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "n_extra", "base_sha256", "spans"])
-            out.insert(0, key, b["_key"].to_numpy())
-            yield out
+                rows.append((*(n[i] for i in range(len(BASE))), len(found) - len(base), hashlib.sha256(written(base).encode()).hexdigest(), written(found)))
+            return list(zip(*rows)) or [()] * 7
+
+        return run
 
-    return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInPandas(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, n_extra long, base_sha256 string, spans string")
+    return rowwise(docs, key, text, "n_email long, n_ip long, n_card long, n_phone long, n_extra long, base_sha256 string, spans string", start)
 
 
 def masked(text: str, found: list[tuple[int, int, int]]) -> str:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import hilbert, pieces, pii, quality, urls
+from lexweave.llm import hilbert, neardup, pieces, pii, quality, urls
 from lexweave.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("n_extra")
 
 
+def op3_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("class").alias("class_id"), "n_links", "n_copies")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = hilbert.assign(docs, "doc_id", ["source", "lang", "n_chars", "doc_id"])
@@ -34,7 +39,7 @@ def op10_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_weak_supervision_pii, op4_hilbert_shards, op5_prefix_table, op9_url_filter, op10_line_first)}
+    return {f.__name__: f for f in (op2_weak_supervision_pii, op3_lsh_forest_join, op4_hilbert_shards, op5_prefix_table, op9_url_filter, op10_line_first)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,13 +7,13 @@ allowed, as nothing speaks against it. Repeated rows are judged alike; only key
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lexweave.llm.common import rowwise
 
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -111,13 +111,13 @@ def rule_for(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
 def judge(pages: DataFrame, table: pd.DataFrame | None = None, key: str = "page_id", url: str = "url", rules=RULES, threshold: float = 0.5) -> DataFrame:
     """key, host, path, rule, score, verdict of each row. Only key and url are read; there is no shuffle."""
     weights = train(labelled() if table is None else table)
-    kind = pages.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         at_host = lru_cache(50_000)(lambda h: (weights[v := slots(0, h)].sum(), len(v)))
-        for b in batches:
+
+        def run(found: list) -> list:
             rows = []
-            for u in b["_url"]:
+            for u in found:
                 host, path = parts(u)
                 rule = rule_for(host, path, rules)
                 total, n = at_host(host)
@@ -125,8 +125,8 @@ def judge(pages: DataFrame, table: pd.DataFrame | None = None, key: str = "page_
                 p = float(1 / (1 + np.exp(-np.clip((total + weights[v].sum()) / np.sqrt(max(1, n + len(v))) + weights[WIDTH], -30, 30))))
                 blocked = bool(host or path) and p >= threshold
                 rows.append((host, path, rule[1] if rule else None, p, rule[0] if rule else "block" if blocked else "allow"))
-            out = pd.DataFrame(rows, columns=["host", "path", "rule", "score", "verdict"])
-            out.insert(0, key, b["_key"].to_numpy())
-            yield out
+            return list(zip(*rows)) or [()] * 5
+
+        return run
 
-    return pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url")).mapInPandas(run, f"`{key}` {kind}, host string, path string, rule string, score double, verdict string")
+    return rowwise(pages, key, url, "host string, path string, rule string, score double, verdict string", start)
