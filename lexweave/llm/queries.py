@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import hilbert, neardup, pieces, pii, quality, urls
+from lexweave.llm import hilbert, licenses, lm, mixing, neardup, pieces, pii, quality, urls
 from lexweave.llm.common import table
 
 
+#: Shares of the tokens that the mix should have.
+MIX = {"good": 0.85, "low": 0.12, "toxic": 0.03}
+
+
+def op1_soft_membership_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
+
+
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("n_extra")
 
@@ -29,6 +37,14 @@ def op5_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -39,7 +55,8 @@ def op10_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_weak_supervision_pii, op3_lsh_forest_join, op4_hilbert_shards, op5_prefix_table, op9_url_filter, op10_line_first)}
+    found = (op1_soft_membership_mix, op2_weak_supervision_pii, op3_lsh_forest_join, op4_hilbert_shards, op5_prefix_table, op6_masked_likelihood, op8_license_scan, op9_url_filter, op10_line_first)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
