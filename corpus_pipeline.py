@@ -1,5 +1,63 @@
-"""placeholder"""
-STAGES = []
+"""From raw documents to encoded training data, stage by stage.
+
+Each stage is one of the operators of lexweave.llm, takes (spark, docs, sf_dir) and returns a DataFrame,
+which is written as Parquet and read again as the next stage's docs. All but the last return the columns
+of documents:
+
+1. quality: documents that the line rules reject go, and lines that fail are cut out of the others;
+2. near_duplicates: one document of each class of near duplicates stays, that with the least doc_id;
+3. pii: spans with personal data are masked;
+4. mixing: each document stays as often as its rate says; the good domain keeps its tokens, others are cut;
+5. encoding: token ids of each document, with their digests and the decoded text's.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lexweave.llm import mixing, neardup, pieces, pii, quality
+from lexweave.llm.common import materialize, table
+
+#: Tokens that each domain should have, as multiples of what it is expected to have.
+WANTED = {"good": 1.0, "low": 0.25, "toxic": 0.05}
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality.line_first(docs).filter("kept")
+    changed = judged.withColumn("text", judged["cleaned"]).selectExpr("*", "bigint(length(text)) AS _n")
+    return changed.selectExpr(*[f"{'_n' if c == 'n_chars' else f'`{c}`'} AS `{c}`" for c in docs.columns])
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.take(docs, table(spark, sf_dir, "labels"), WANTED)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True).drop("decoded")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+#: Several stages run models and hashes that SQL doesn't have; tests compare with brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else materialize(docs), sf_dir)
+    return docs

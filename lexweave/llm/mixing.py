@@ -97,6 +97,24 @@ def train(rows: list[np.ndarray], y: np.ndarray, classes: int, steps: int = 150,
     return w
 
 
+def calibrated(rows: list[np.ndarray], y: np.ndarray, classes: int) -> np.ndarray:
+    """Weights that give likelihoods as sure as they are right: all are divided by the number under which three quarters of
+    the rows predict the fourth best."""
+    w = train(rows, y, classes)
+    held = np.arange(len(rows)) % 4 == 3
+    if held.sum() < 20:
+        return w
+    part = train([r for r, h in zip(rows, held) if not h], y[~held], classes)
+    z = np.stack([part[r].sum(axis=0) for r, h in zip(rows, held) if h])
+
+    def loss(t: float) -> float:
+        x = z / t
+        x = x - x.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(x)), y[held]]).mean())
+
+    return w / min((1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0), key=loss)
+
+
 def classifier(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_TRAIN) -> np.ndarray:
     """The weights. The texts of the chosen documents become places of ones before they go to the driver."""
     labelled = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
@@ -109,7 +127,7 @@ def classifier(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     ready = rowwise(picked.select(F.col("_id._k").alias("k"), F.col("_id._y").alias("y"), F.col("_t")).withColumn("ky", F.concat_ws(":", F.col("k").cast("string"), F.col("y").cast("string"))), "ky", "_t", "at array<int>", start)
     found = sorted((r.ky, r["at"]) for r in ready.collect())
-    return train([np.array(a, np.int64) for _, a in found], np.array([int(k.rsplit(":", 1)[1]) for k, _ in found], int), len(DOMAINS))
+    return calibrated([np.array(a, np.int64) for _, a in found], np.array([int(k.rsplit(":", 1)[1]) for k, _ in found], int), len(DOMAINS))
 
 
 def likelihoods(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import hilbert, licenses, lm, mixing, neardup, pieces, pii, quality, urls
+from lexweave.llm import fingerprints, hilbert, licenses, lm, mixing, neardup, pieces, pii, quality, urls
 from lexweave.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op7_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(table(spark, sf_dir, "documents")).drop("n_removed", "n_added")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_soft_membership_mix, op2_weak_supervision_pii, op3_lsh_forest_join, op4_hilbert_shards, op5_prefix_table, op6_masked_likelihood, op8_license_scan, op9_url_filter, op10_line_first)
+    found = (op1_soft_membership_mix, op2_weak_supervision_pii, op3_lsh_forest_join, op4_hilbert_shards, op5_prefix_table, op6_masked_likelihood, op7_lookup_sketch, op8_license_scan, op9_url_filter, op10_line_first)
     return {f.__name__: f for f in found}
 
 
