@@ -1 +1,3 @@
-"""See the package docstring."""
+"""Registered queries."""
+
+from lexweave.plans import queries, registry  # noqa: F401
