@@ -20,7 +20,7 @@ from lexweave.llm import mixing, neardup, pieces, pii, quality
 from lexweave.llm.common import materialize, table
 
 #: Tokens that each domain should have, as multiples of what it is expected to have.
-WANTED = {"good": 1.0, "low": 0.25, "toxic": 0.05}
+WANTED = {"good": 1.0, "low": 0.5, "toxic": 0.3}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

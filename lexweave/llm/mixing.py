@@ -76,7 +76,7 @@ def probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     return z / z.sum()
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, classes: int, steps: int = 150, rate: float = 0.3, decay: float = 2e-4) -> np.ndarray:
+def train(rows: list[np.ndarray], y: np.ndarray, classes: int, steps: int = 150, rate: float = 0.3, decay: float = 2e-3) -> np.ndarray:
     """Softmax regression by Adagrad on sparse rows of ones."""
     w, square = np.zeros((WIDTH, classes)), np.full((WIDTH, classes), 1e-8)
     if not rows:
@@ -210,7 +210,7 @@ def copies(rate: Column, key: Column, seed: int = 7, slack: float = 0.0) -> Colu
     return F.when(near, F.round(rate)).otherwise(F.floor(rate + u)).cast("int")
 
 
-def take(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str = "doc_id", text: str = "text", slack: float = 0.3) -> DataFrame:
+def take(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str = "doc_id", text: str = "text", slack: float = 0.4) -> DataFrame:
     """docs with each document as often as its rate says (see copies()), with targets as in factors()."""
     rated = factors(docs, labels, wanted, key, text).groupBy(key).agg(F.max("rate").alias("_rate"))
     n = rated.select(F.col(key).alias("_key"), copies(F.col("_rate"), F.col(key), slack=slack).alias("_copies")).filter("_copies > 0")
