@@ -101,7 +101,7 @@ def without_fences(c: Column) -> Column:
 
 def repaired_escapes(c: Column) -> Column:
     """Backslashes that start no JSON escape are doubled."""
-    return F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 def between_relation(c: Column, patterns: list[tuple[str, str]] | None = None) -> Column:

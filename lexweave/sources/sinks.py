@@ -73,12 +73,12 @@ def json_ld(graph: DataFrame) -> DataFrame:
 
 
 def metrics_json(per_doc: DataFrame, overall: DataFrame) -> DataFrame:
-    """One row: metrics of documents (doc_id, level, ...) and overall (level, ...) as nested JSON."""
+    """Metrics of documents (doc_id, level, ...) and overall (level, ...): a JSON line for each document, by level, and one
+    named `overall`, so that no row grows with the corpus."""
     body = lambda df: F.struct(*[c for c in df.columns if c not in ("doc_id", "level")])
-    docs = per_doc.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", body(per_doc).alias("m"))))).alias("m"))
-    docs = docs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("id"), "m")))).alias("per_doc"))
-    total = overall.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", body(overall).alias("m"))))).alias("overall"))
-    return docs.crossJoin(total).select(F.to_json(F.struct("per_doc", "overall")).alias("value"))
+    levels = lambda df: F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", body(df).alias("m")))))).alias("value")
+    docs = per_doc.groupBy(F.col("doc_id").cast("string").alias("name")).agg(levels(per_doc))
+    return docs.unionByName(overall.groupBy(F.lit("overall").alias("name")).agg(levels(overall)))
 
 
 def write_annotated(records: DataFrame, path: str) -> DataFrame:

@@ -1,0 +1,81 @@
+"""Scalar functions on hand-computed cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexweave.functions import text as T
+from lexweave.operators import metrics, terms
+
+
+def one(spark, make, value, type_="string"):
+    return spark.createDataFrame([(value,)], f"x {type_}").select(make(F.col("x")).alias("y")).first().y
+
+
+@pytest.mark.parametrize(
+    "make, given, wanted",
+    [
+        (T.normalize, " ПСК ", "полная стоимость кредита"),
+        (T.normalize, " Вклад ", "вклад"),
+        (T.tokens, "Банк и кредит. Новый БАНК", ["банк", "кредит", "новый", "банк"]),
+        (T.clean_text, "a  \n\n\n b\n\n", "a\n\n b"),
+        (T.safe_filename, "a b/ц-1", "a_b_ц-1"),
+        (T.slugify, "Интернет-банк", "Internetbank"),
+        (T.slugify, "10,5% годовых", "105Godovykh"),
+        (T.slugify, "«»", "Unknown"),
+        (T.slugify, "Заёмщик", "Zayomschik"),
+        (T.sentences, "a. Bb. Cc", ["a.", "Bb.", "Cc"]),
+        (T.legal_sentences, "По ст. 5 п. 2.1 закона. Банк платит 10 руб. Клиент - нет.", ["По ст. 5 п. 2.1 закона.", "Банк платит 10 руб. Клиент - нет."]),
+        (T.between_relation, " предоставляет ", "issuedBy"),
+        (T.between_relation, "осуществляет надзор за", "regulatedBy"),
+        (T.between_relation, "ОСУЩЕСТВЛЯЕТ", "involves"),
+        (T.between_relation, "подлежит обязательному", "appliesTo"),
+        (T.between_relation, "сравнение", "hasValue"),
+        (T.between_relation, "и", None),
+        (T.without_fences, "```json\n{\"a\": 1}\n```", '{"a": 1}'),
+        (T.without_fences, ' {"a": 1} ', '{"a": 1}'),
+        (T.repaired_escapes, '{"a": "\\d\\n"}', '{"a": "\\\\d\\n"}'),
+        (T.lemmatized, "Процентной, ставки", "процентной ставки"),
+        (T.html_text, "<p>a &amp; b</p><script>x</script><nav>n</nav><p>c</p>", "a & b\n\nc"),
+        (T.url_kind, "http://x/A.PDF", "pdf"),
+        (T.url_kind, "parser/local/a.pdf", "local_pdf"),
+        (T.url_kind, "http://x/", "web"),
+        (T.route, "a\n" * 48 + "a", "short"),
+        (T.route, "a\n" * 49 + "a", "ok"),
+        (T.route, " \n", "empty"),
+        (T.route, None, "empty"),
+        (T.garbage_ratio, "a�bc", 0.25),
+    ],
+)
+def test_function(spark, make, given, wanted):
+    assert one(spark, make, given) == wanted
+
+
+def test_short_runs_have_no_ngrams(spark):
+    assert one(spark, lambda c: T.ngrams(T.tokens(c), 2), "банк") == []
+    assert one(spark, lambda c: T.ngrams(T.tokens(c), 2), "Банк и кредит. Новый БАНК") == ["банк кредит", "кредит новый", "новый банк"]
+
+
+def test_packing(spark):
+    assert one(spark, lambda c: terms.packed(c, 8), "aaa. bb. cccccccccccc. d.") == ["aaa. bb.", "cccccccccccc.", "d."]
+    assert one(spark, lambda c: terms.packed(c, 100), "a. b.") == ["a. b."]
+
+
+def test_prf(spark):
+    rows = spark.createDataFrame([(8, 209, 53), (7, 210, 54), (0, 66, 64), (0, 0, 0), (1, 15, 15)], "tp long, fp long, fn long")
+    got = [tuple(round(x, 3) for x in (r.precision, r.recall, r.f1)) for r in metrics.scored(rows).collect()]
+    assert got == [(0.037, 0.131, 0.058), (0.032, 0.115, 0.05), (0, 0, 0), (0, 0, 0), (0.062, 0.062, 0.062)]
+
+
+def test_scores_of_a_small_corpus(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb aaa"), (2, "bbb ccc"), (3, None), (4, "")], "doc_id int, text string")
+    got = {(r.doc_id, r.ngram): (r.total, round(r.score, 4)) for r in terms.tfidf(docs).collect()}
+    assert got[1, "aaa bbb"] == (6, 0.0676) and got[2, "bbb ccc"] == (3, 0.1352)
+    assert not any(len(g) <= 3 for _, g in got)
+
+
+def test_merging_of_terms(spark):
+    rows = spark.createDataFrame([(1, 0, "Ставка", "c", 0.02, "statistical"), (1, 1, "ставка", "", 0.9, "llm"), (1, 2, " ставка", "", 0.8, "llm"), (1, 3, " ", "", 1.0, "llm")], "doc_id int, ord int, text string, context string, score double, source string")
+    (r,) = terms.merge(rows).collect()
+    assert (r.text, r.source, round(r.score, 6), r.frequency, r.context) == ("Ставка", "both", 0.026, 3, "c")
+    (b,) = terms.source_breakdown(terms.merge(rows)).collect()
+    assert (b.n_both, b.n_llm, b.n_statistical) == (1, 0, 0)
