@@ -35,16 +35,15 @@ def normalize(c: Column) -> Column:
 
 def tokens(c: Column, pattern: str = TOKEN) -> Column:
     """Words of over two letters that are no stopwords, in order."""
-    stop = F.array(*[F.lit(w) for w in V.STOPWORDS])
     found = F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(V.STOPWORDS))
 
 
 def ngrams(tokens_: Column, n: int) -> Column:
     """All runs of n tokens, joined by blanks; none if there are fewer."""
     if n == 1:
         return tokens_
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens_) - F.lit(n - 1)), lambda i: F.array_join(F.slice(tokens_, i, n), " "))
+    runs = F.transform(F.sequence(F.lit(0), F.size(tokens_) - F.lit(n)), lambda i: F.concat_ws(" ", *[tokens_[i + k] for k in range(n)]))
     return F.when(F.size(tokens_) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
