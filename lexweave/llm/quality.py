@@ -19,58 +19,55 @@ RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 MAX_MARKS = 0.1
 #: A line with at least as many separators is navigation or a table.
 MIN_BARS = 3
-#: Boilerplate phrases count in lines of at most so many words.
-MAX_BOILERPLATE_WORDS = 20
+#: Boilerplate phrases count in lines of at most so many characters.
+MAX_BOILERPLATE = 200
 BOILERPLATE = "(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign up|log in|subscribe now|enable javascript|back to top|share this)"
 #: A document is rejected if more than this part of its characters stands in failing lines.
 MAX_LOST = 0.5
 
-# A line's words are counted by its ASCII white space, as everywhere in the contract.
-_HAS_WORD = "rlike(l, '[^\\\\x20\\\\x09-\\\\x0D]')"
+#: Up to so many different repeated windows are looked up one by one; more are found by sorting.
+FEW = 16
 
 
-def _line_fails(max_marks: float) -> str:
-    marks = "length(l) - length(translate(l, '#*$%&|<>!', ''))"
-    bars = "length(l) - length(translate(l, '|', ''))"
-    words = "size(filter(split(l, '[\\\\x20\\\\x09-\\\\x0D]+'), v -> v != ''))"
-    return f"(({marks}) > {max_marks} * length(l) OR ({bars}) >= {MIN_BARS} OR (rlike(l, '{BOILERPLATE}') AND {words} <= {MAX_BOILERPLATE_WORDS}))"
-
-
-def line_first(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, max_marks: float = MAX_MARKS) -> DataFrame:
-    """The input's columns and RESULTS. One expression over each row, without a shuffle.
+def line_first(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, max_marks: float = MAX_MARKS, clean: bool = True) -> DataFrame:
+    """The input's columns and RESULTS (without `cleaned`, if not asked for). One expression over each row, without a shuffle.
 
     Values that are needed more than once are bound as lambda variables (an array of one element),
     and the generator at the top keeps the optimizer from evaluating the whole again for each
-    result. Repeated windows are found by sorting (hash, position) within the row.
+    result. Repeated windows are found by their 64-bit hashes: most texts have no more than a few, and
+    only others are sorted as (hash, position).
     """
     t = f"coalesce(`{text}`, '')"
-    # w: words; s: windows by hash; p: positions of windows that occur at least twice
-    windows = "IF(size(w) < 3, array(), sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i))))"
-    twice = "sort_array(transform(filter(s, (x, k) -> coalesce(get(s, k - 1).h = x.h, false) OR coalesce(get(s, k + 1).h = x.h, false)), x -> x.i))"
-    covered = "aggregate(p, struct(0 AS e, 0L AS c), (a, i) -> struct(i + 3 AS e, a.c + i + 3 - greatest(a.e, i) AS c)).c"
-    repeats = f"transform(transform(array({windows}), s -> {twice}), p -> {covered})[0]"
-    lines = f"split({t}, '\\n')"
-    # r: lines with a word; f: which lines fail
-    judged = f"""transform(array(filter({lines}, l -> {_HAS_WORD})), r -> named_struct(
-        'dup', size(r) - size(array_distinct(r)),
-        'all', aggregate(r, 0L, (a, l) -> a + length(l)),
-        'lost', aggregate(filter(r, l -> {_line_fails(max_marks)}), 0L, (a, l) -> a + length(l))))[0]"""
-    cleaned = f"IF(`{text}` IS NULL, NULL, array_join(filter({lines}, l -> NOT ({_HAS_WORD} AND {_line_fails(max_marks)})), '\\n'))"
-    made = f"""inline_outer(transform(transform(
-        array(named_struct('w', filter(split({t}, '[\\\\x20\\\\x09-\\\\x0D]+'), v -> v != ''), 'j', {judged})),
-        q -> named_struct('n', size(q.w), 'j', q.j, 'rep', transform(array(q.w), w -> {repeats})[0])),
-        q -> named_struct(
-            'n_words', bigint(q.n),
-            'word_chars', bigint(length(translate({t}, ' \\t\\n\\u000b\\u000c\\r', ''))),
-            'n_symbols', bigint(length({t}) - length(translate({t}, '#*$%&|<>', ''))),
-            'n_dup_lines', bigint(q.j.dup),
-            'n_repeat_words', bigint(q.rep),
-            'base_failed', q.n < 50 OR 100 * q.rep > 50 * q.n,
-            'kept', NOT (q.n < 50 OR 100 * q.rep > 50 * q.n) AND q.j.lost <= {max_lost} * q.j.all,
-            'n_lost_chars', q.j.lost, 'n_line_chars', q.j.all,
-            'cleaned', {cleaned})))"""
+
+    def let(name: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    # x: a line, whether it has a word, its symbols and its exclamation marks
+    fails = f"(x.s + x.b > {max_marks} * length(x.l) OR length(x.l) - length(replace(x.l, '|', '')) >= {MIN_BARS} OR (length(x.l) <= {MAX_BOILERPLATE} AND rlike(x.l, '{BOILERPLATE}')))"
+    seen = f"transform(split({t}, '\n'), l -> named_struct('l', l, 'w', rlike(l, '[^\\\\x20\\\\x09-\\\\x0D]'), 's', regexp_count(l, '[#*$%&|<>]'), 'b', length(l) - length(replace(l, '!', ''))))"
+    # y: a line, whether it has a word, its symbols, and whether it fails
+    judged = f"transform({seen}, x -> named_struct('l', x.l, 'w', x.w, 's', x.s, 'f', x.w AND {fails}))"
+    # h: hashes of windows; d: those that occur at least twice; p: positions of such windows
+    sorted_ = "array_sort(transform(h, (x, i) -> struct(x AS h, i AS i)))"
+    many = let("s", sorted_, "sort_array(transform(filter(s, (x, k) -> coalesce(get(s, k - 1).h = x.h, false) OR coalesce(get(s, k + 1).h = x.h, false)), x -> x.i))")
+    few = "filter(sequence(0, size(h) - 1), i -> array_contains(d, h[i]))"
+    covered = let("p", f"IF(size(d) <= {FEW}, {few}, {many})", "aggregate(p, struct(0 AS e, 0L AS c), (a, i) -> struct(i + 3 AS e, a.c + i + 3 - greatest(a.e, i) AS c)).c")
+    twice = let("s", "sort_array(h)", "array_distinct(filter(s, (x, k) -> coalesce(get(s, k - 1) = x, false)))")
+    repeats = let("h", "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))", f"IF(size(array_distinct(h)) = size(h), 0L, {let('d', twice, covered)})")
+    words = let("w", f"array_remove(split({t}, '[\\\\x20\\\\x09-\\\\x0D]+'), '')", f"named_struct('n', size(w), 'c', aggregate(w, 0L, (a, v) -> a + length(v)), 'r', IF(size(w) < 3, 0L, {repeats}))")
+    lines = let("y", judged, f"""named_struct(
+        's', aggregate(y, 0L, (a, x) -> a + x.s),
+        'd', {let("r", "transform(filter(y, x -> x.w), x -> x.l)", "size(r) - size(array_distinct(r))")},
+        'a', aggregate(y, 0L, (a, x) -> IF(x.w, a + length(x.l), a)),
+        'lost', aggregate(y, 0L, (a, x) -> IF(x.f, a + length(x.l), a)),
+        'cleaned', {"array_join(transform(filter(y, x -> NOT x.f), x -> x.l), chr(10))" if clean else "NULL"})""")
+    base = "q.n < 50 OR 100 * q.r > 50 * q.n"
+    results = let("q", words, let("j", lines, f"""named_struct(
+        'n_words', bigint(q.n), 'word_chars', q.c, 'n_symbols', j.s, 'n_dup_lines', bigint(j.d), 'n_repeat_words', q.r,
+        'base_failed', {base}, 'kept', NOT ({base}) AND j.lost <= {max_lost} * j.a,
+        'n_lost_chars', j.lost, 'n_line_chars', j.a{f", 'cleaned', IF(`{text}` IS NULL, NULL, j.cleaned)" if clean else ""})"""))
     kept = [f"`{c}`" for c in docs.columns if c not in RESULTS]
-    return docs.selectExpr(*kept, made)
+    return docs.selectExpr(*kept, f"inline_outer(array({results}))")
 
 
 ORACLE = f"""
@@ -84,7 +81,7 @@ ln AS (SELECT rid, l, length(l) AS c, length(l) - length(translate(l, '#*$%&|<>!
               length(l) - length(replace(l, '|', '')) AS bars, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS nw
        FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d)),
 lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup, sum(c) AS all_chars,
-                 sum(CASE WHEN marks > {MAX_MARKS} * c OR bars >= {MIN_BARS} OR (nw <= {MAX_BOILERPLATE_WORDS} AND regexp_matches(l, '{BOILERPLATE}')) THEN c ELSE 0 END) AS lost
+                 sum(CASE WHEN marks > {MAX_MARKS} * c OR bars >= {MIN_BARS} OR (c <= {MAX_BOILERPLATE} AND regexp_matches(l, '{BOILERPLATE}')) THEN c ELSE 0 END) AS lost
           FROM ln WHERE nw > 0 GROUP BY rid),
 base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
                 CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
