@@ -87,7 +87,8 @@ def assign(df: DataFrame, key: str, dimensions: list[str], text: str = "text", s
 
     @F.pandas_udf("long")
     def index(*dims: pd.Series) -> pd.Series:
-        cells = [np.searchsorted(np.array(c, np.int64), d.to_numpy(np.int64), side="left") for c, d in zip(cuts, dims)]
+        # A column with few values has few cells; they are spread over the whole range, so that each column counts alike.
+        cells = [np.searchsorted(np.array(c, np.int64), d.to_numpy(np.int64), side="left") * (1 << bits) // (len(c) + 1) for c, d in zip(cuts, dims)]
         return pd.Series(hilbert_index(np.stack(cells), bits))
 
     low = F.lit(-(2**62))

@@ -93,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(at + 1, low))
     if _DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p) <= 300 and int(p) <= 255 for p in m.group().split(".")):
+            if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             if 14 <= m.end() - m.start() <= 40 and 14 <= len(d := digits_of(m.group())) <= 19 and luhn(d):

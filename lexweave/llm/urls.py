@@ -36,6 +36,7 @@ travel-guide.net/italy/rome gardening.org/roses/care school-district.edu/calenda
 health-clinic.org/doctors hospital.net/visitors music-review.com/albums/jazz film-archive.org/silent photo-club.net/gallery
 railway-timetable.com/stations city-council.gov/minutes open-data.org/datasets maps.example.net/region/north chess-club.org/results
 bookshop.com/novels/classics astronomy.edu/stars/catalog engineering.net/bridges history-society.org/letters poetry.net/sonnets
+x.com/home t.co/news a.org/en b.net/about ab.de/wissen x.net/fr/1
 thersh.example.com/en/855 ththou.example.net/de/10300.html ththre.example.org/fr/489 www.therth.example.org/de/32821 blog.tiontion.example.com/es/30156 m.therly.example.net/en/8587 anther.example.net/fr/13052 reston.example.net/de/50598 ononer.example.net/es/11230""".split()
 
 
