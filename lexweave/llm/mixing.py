@@ -76,11 +76,31 @@ def probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     return z / z.sum()
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, classes: int, steps: int = 150, rate: float = 0.3, decay: float = 2e-3) -> np.ndarray:
-    """Softmax regression by Adagrad on sparse rows of ones."""
+def telling(rows: list[np.ndarray], y: np.ndarray, classes: int) -> np.ndarray:
+    """The features that differ most between the classes, by chi-square: a third as many as there are rows, a hundred at least;
+    with signs of style and the constant. Words that stand in one document only would be learnt by heart."""
+    column = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n = np.bincount(column, minlength=WIDTH).astype(float)
+    chi = np.zeros(WIDTH)
+    for k in range(classes):
+        share = (y == k).mean()
+        expected = n * share
+        off = (np.bincount(column, weights=(y == k)[row], minlength=WIDTH) - expected) ** 2
+        chi = np.maximum(chi, off / np.maximum(expected, 1e-9) + off / np.maximum(n * (1 - share), 1e-9))
+    keep = np.zeros(WIDTH, bool)
+    keep[np.argsort(-chi, kind="stable")[: max(100, len(rows) // 3)]] = True
+    keep[-1 - STYLE :] = True
+    return keep
+
+
+def train(rows: list[np.ndarray], y: np.ndarray, classes: int, steps: int = 150, rate: float = 0.3, decay: float = 2e-4) -> np.ndarray:
+    """Softmax regression by Adagrad on sparse rows of ones, with the features that tell the classes apart."""
     w, square = np.zeros((WIDTH, classes)), np.full((WIDTH, classes), 1e-8)
     if not rows:
         return w
+    keep = telling(rows, y, classes)
+    rows = [r[keep[r]] for r in rows]
     column = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, column = np.unique(column, return_inverse=True)
