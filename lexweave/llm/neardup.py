@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Documents are sets of shingles of five words. Each of TREES trees labels a set with DEPTH min-hash
-values of one byte; the label, an integer, sorts as the trie of its bytes does, and two sets match as
+Documents are sets of shingles of five words. Each of TREES trees labels a set with up to DEPTH min-hash
+values of 16 bits; the label, an integer, sorts as the trie of its values does, and two sets match as
 deep as their labels share a prefix. The prefix is shortened from the full depth until, for sets at
 the threshold, the chance of sharing it in at least one tree reaches the target recall. Sets
 that share this prefix in a tree are candidates; a pair is handled in the first such tree only, and
@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import SIMILARITY, WordHashes, groups, materialize, mixed, rowwise, shingles, words_of
 
 TREES = 24
-DEPTH = 8
-RECALL = 0.9995
+DEPTH = 4
+#: Bits of each value in a label.
+BITS = 16
+#: Of pairs right at the threshold, so many are met at least; above it the chance is still better.
+RECALL = 1 - 1e-7
 #: Members of a bucket that a task holds at once are at most twice so many.
 BLOCK = 128
 #: Shingles handled at once when min-hashing; bounds memory for long texts.
@@ -50,22 +53,22 @@ def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, reca
 
 
 def labels(h: np.ndarray, seeds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The trees' labels of a set of shingle hashes: bytes of min-hash values, the first the highest."""
+    """The trees' labels, to this depth, of a set of shingle hashes: 16 bits of each min-hash value, the first the highest."""
     least = np.full(len(seeds), np.uint64(2**64 - 1))
     for i in range(0, len(h), SLAB):
         part = (h[i : i + SLAB, None] ^ seeds[None, :]) * np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
-    b = (mixed(least) >> np.uint64(56)).reshape(trees, depth)
+    b = (mixed(least) >> np.uint64(64 - BITS)).reshape(trees, depth)
     out = np.zeros(trees, np.uint64)
     for d in range(depth):
-        out = (out << np.uint64(8)) | b[:, d]
+        out = (out << np.uint64(BITS)) | b[:, d]
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, trees: int, depth: int, prefix: int) -> DataFrame:
-    """key, digest (of the shingle set) and the trees' label prefixes of each document."""
-    seeds = mixed(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    shift = np.uint64(8 * (depth - prefix))
+def signatures(docs: DataFrame, key: str, text: str, trees: int, prefix: int) -> DataFrame:
+    """key, digest (of the shingle set) and the trees' labels of each document. Values beyond the prefix at which the
+    shortening ends are never compared and so not made."""
+    seeds = mixed(np.arange(1, trees * prefix + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def start():
         hashes = WordHashes()
@@ -75,7 +78,7 @@ def signatures(docs: DataFrame, key: str, text: str, trees: int, depth: int, pre
             for t in texts:
                 h = np.unique(shingles(words_of(t), hashes))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                found.append((labels(h, seeds, trees, depth) >> shift).astype(np.int64) if len(h) else None)
+                found.append(labels(h, seeds, trees, prefix).astype(np.int64) if len(h) else None)
             return [digests, found]
 
         return run
@@ -121,7 +124,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     pair, and the texts of the representatives in those. A cluster's size bounds no task.
     """
     prefix = prefix_depth(similarity, trees, depth, recall)
-    signed = materialize(signatures(docs, key, text, trees, depth, prefix))
+    signed = materialize(signatures(docs, key, text, trees, prefix))
     # One representative for each set; its labels are those of any member.
     reps = signed.filter("labels IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), F.first("labels").alias("labels"))
     reps = materialize(reps)
@@ -232,12 +235,17 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
 def set_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """digest, n and text for chosen (digest, key, n). Keys can repeat with other texts, so a digest's text is
     looked for among all rows of its key."""
-    hashed = F.pandas_udf(_digests, "binary")
-    hits = texts.join(chosen.withColumnRenamed("digest", "want"), texts["key"].eqNullSafe(chosen["key"])).select("want", "n", "text")
-    hits = hits.withColumn("digest", hashed("text")).filter("digest = want")
+    same = F.pandas_udf(_same_set, "boolean")
+    hits = texts.join(chosen, texts["key"].eqNullSafe(chosen["key"])).select("digest", "n", "text")
+    # The check takes values of both sides, or else it would be moved below the join, onto all texts.
+    hits = hits.filter(same("text", "digest"))
     return hits.groupBy("digest").agg(F.first("n").alias("n"), F.first("text").alias("text"))
 
 
+def _same_set(text: pd.Series, digest: pd.Series) -> pd.Series:
+    return _digests(text) == digest
+
+
 def _digests(text: pd.Series) -> pd.Series:
     hashes = WordHashes()
     return text.map(lambda t: xxhash.xxh3_128_digest(np.unique(shingles(words_of(t), hashes)).tobytes()))
