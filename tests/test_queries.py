@@ -20,9 +20,9 @@ def canonical(v):
 def test_query(spark, name):
     df = registry.queries()[name](spark, SMALL)
     rows = df.collect()
-    assert rows
     sql = registry.oracle_sql().get(name)
     if sql is None:
+        assert rows
         return
     con = duckdb.connect()
     for t in TABLES:
