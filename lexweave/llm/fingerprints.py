@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame functions only.
 
-A text's paragraphs (its lines, cut after sentences; of a text with fewer than four of these, its words) are a
-set of 64-bit digests. A sketch has three tables of cells; a digest goes into one cell of each, which keeps the
+A text's paragraphs are a set of 64-bit digests. They are its lines, cut further after sentences that end on one of
+five letters, so that a long line isn't all or nothing and the cuts depend on nothing but the text around them. A text with
+fewer than LEAST of these has its sentences as well, and with fewer than LEAST sentences also its runs of three words.
+A sketch has three tables of cells; a digest goes into one cell of each, which keeps the
 number, the xor of the digests, and the xor of their check values. The difference of two sketches, cell by
 cell, is the sketch of the two sets' difference. It is peeled: a cell with one digest (its check value
 shows that) gives that digest away, which is then taken out of its cells in all tables, until nothing is left.
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 4
+#: Fewer paragraphs than this are cut more finely.
+LEAST = 8
 RETRIES = (4, 16, 64, 1024)
 #: Digests of both sides in a group, about.
 IN_GROUP = 4
 #: Rounds of peeling; each takes out all digests that are alone in a cell.
-ROUNDS = 12
+ROUNDS = 8
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -40,9 +44,13 @@ def let(name: str, value: str, body: str) -> str:
 
 def digests(text: str) -> str:
     """The set of a text's paragraph digests, an array of longs."""
-    lines = f"filter(split({text}, '\\\\n|(?<=[.!?])\\\\x20'), v -> trim(v) != '')"
-    words = f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), v -> v != '')"
-    return f"array_distinct(transform({let('u', lines, f'IF(size(u) < 4, {words}, u)')}, v -> xxhash64(v)))"
+    def parts(cut: str) -> str:
+        return f"filter(split({text}, '{cut}'), v -> v != '' AND NOT v RLIKE '^\\\\x20+$')"
+
+    words = let("w", f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), v -> v != '')", "IF(size(w) < 3, w, transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])))")
+    sentences = let("u", parts("\\\\n|(?<=[.!?])\\\\x20"), f"IF(size(u) < {LEAST}, concat(u, {words}), u)")
+    lines = let("u", parts("\\\\n|(?<=[a-e][.!?])\\\\x20"), f"IF(size(u) < {LEAST}, concat(u, {sentences}), u)")
+    return f"array_distinct(transform({lines}, v -> xxhash64(v)))"
 
 
 def place(k: str, cells: int, c: str) -> str:
@@ -58,12 +66,26 @@ def sketch(keys: str, cells: int) -> str:
 
 
 def peel(difference: str, cells: int) -> str:
-    """(a, b): the numbers of digests on either side of a difference of sketches; null if it can't be peeled."""
-    alone = "array_distinct(transform(filter(t.c, z -> abs(z.n) = 1 AND hash(z.x) = z.h), z -> named_struct('n', z.n, 'x', z.x)))"
+    """(a, b): the numbers of digests on either side of a difference of sketches; null if it can't be peeled.
+
+    If the digests that are alone in some cell add up to the whole of the first table - number, digests and check values -
+    they are all there are, and no cell needs to be changed; otherwise they are taken out in rounds."""
+
+    def alone(c: str) -> str:
+        return f"array_distinct(transform(filter({c}, z -> abs(z.n) = 1 AND hash(z.x) = z.h), z -> named_struct('n', z.n, 'x', z.x)))"
+
+    def counts(of: str, sign: str) -> str:
+        return f"size(filter({of}, k -> k.n {sign} 0))"
+
+    none = "named_struct('n', 0, 'x', 0L, 'h', 0)"
+    whole = f"aggregate(slice(m, 1, {cells}), {none}, (y, z) -> named_struct('n', y.n + z.n, 'x', y.x ^ z.x, 'h', y.h ^ z.h))"
+    summed = f"aggregate(o, {none}, (y, k) -> named_struct('n', y.n + k.n, 'x', y.x ^ k.x, 'h', y.h ^ hash(k.x)))"
     out = f"transform(t.c, (z, c) -> aggregate(filter(o, k -> {place('k.x', cells, 'c')}), z, (y, k) -> named_struct('n', y.n - k.n, 'x', y.x ^ k.x, 'h', y.h ^ hash(k.x))))"
-    round_ = let("o", alone, f"IF(size(o) = 0, t, named_struct('c', {out}, 'a', t.a + size(filter(o, k -> k.n > 0)), 'b', t.b + size(filter(o, k -> k.n < 0))))")
-    done = f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {difference}, 'a', 0, 'b', 0), (t, r) -> {round_})"
-    return let("e", done, "IF(exists(e.c, z -> z.n != 0 OR z.x != 0L OR z.h != 0), NULL, named_struct('a', e.a, 'b', e.b))")
+    round_ = let("o", alone("t.c"), f"IF(size(o) = 0, t, named_struct('c', {out}, 'a', t.a + {counts('o', '>')}, 'b', t.b + {counts('o', '<')}))")
+    rounds = f"aggregate(sequence(1, {ROUNDS}), named_struct('c', m, 'a', 0, 'b', 0), (t, r) -> {round_})"
+    slow = let("e", rounds, "IF(exists(e.c, z -> z.n != 0 OR z.x != 0L OR z.h != 0), NULL, named_struct('a', e.a, 'b', e.b))")
+    quick = let("o", alone("m"), f"IF(size(o) = 0, IF(exists(m, z -> z.n != 0 OR z.x != 0L OR z.h != 0), NULL, named_struct('a', 0, 'b', 0)), IF({whole} = {summed}, named_struct('a', {counts('o', '>')}, 'b', {counts('o', '<')}), {slow}))")
+    return let("m", difference, quick)
 
 
 def subtract(a: str, b: str) -> str:
