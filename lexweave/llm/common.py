@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -78,16 +79,18 @@ class WordHashes(dict):
 
 
 def words_of(text: str | None) -> list[str]:
-    """str.split() would also split at other white space, so those characters are split by hand."""
+    """str.split() would also split at other white space; texts that have any are split by hand."""
     if not text:
         return []
     if text.isascii():
-        # The ASCII separators 0x1C-0x1F are white space for str.split() only.
-        if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split()
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+        plain = not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    else:
+        plain = _OTHER_SPACE.search(text) is None
+    return text.split() if plain else [w for w in text.translate(_TO_SPACE).split(" ") if w]
 
 
+#: White space for str.split() that is none here.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _TO_SPACE = {c: " " for c in range(9, 14)}
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
