@@ -39,7 +39,7 @@ BITS = 16
 #: Of pairs right at the threshold, so many are met at least; above it the chance is still better.
 RECALL = 1 - 1e-7
 #: Members of a bucket that a task holds at once are at most twice so many.
-BLOCK = 128
+BLOCK = 512
 #: Shingles handled at once when min-hashing; bounds memory for long texts.
 SLAB = 2048
 
