@@ -13,7 +13,7 @@ the model says so, one such mark in front; load() refuses another model.
 
 Where no piece of the vocabulary goes across a place (a mark for a space after another character),
 no merge can, and the text is cut there. The cuts are words mostly, and each distinct one is encoded
-once for a partition while the memory for it lasts.
+once by a worker while the memory for it lasts.
 
 Defined results: a null text is encoded like the empty one; lone characters outside the vocabulary
 become bytes or the unknown id. Repeated rows, extra columns and very long texts need no care.
@@ -22,16 +22,17 @@ become bytes or the unknown id. Repeated rows, extra columns and very long texts
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 
 from lexweave.llm.common import rowwise
 
 SPACE = "▁"
-#: Words and their ids that a task remembers at most.
-REMEMBERED = 400_000
+#: Words with their ids, and pairs of pieces, that a worker remembers at most.
+REMEMBERED, PAIRS = 300_000, 300_000
 
 
 class Vocabulary:
@@ -57,13 +58,33 @@ class Vocabulary:
                 raise ValueError("a model whose normaliser changes the text isn't supported")
 
 
+#: A run of marks with what follows it, or what stands before the first mark.
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+
+
+class Words(dict):
+    """The ids of each word as bytes, remembered for shorter ones until there are too many."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, text: str) -> bytes:
+        found = b"".join([i.to_bytes(4, "little") for i in self.encode(text)])
+        if len(text) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Encoder:
-    """The automaton and the memory of a task."""
+    """The automaton and what is remembered."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.ids)
+        self.letters = {p for p in v.pieces if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for text in v.pieces:
             self.automaton.add_word(text, len(text))
@@ -90,7 +111,7 @@ class Encoder:
         key = (left, right)
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= REMEMBERED:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             self.compatible[key] = known = self.merge(list(left + right)) == ([left, right] if left else [right])
         return known
@@ -98,11 +119,14 @@ class Encoder:
     def known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
         last: list[str] = [""] * (len(text) + 1)
+        known = self.compatible.get
         for at, size in self.automaton.iter(text):
             end, start = at + 1, at + 1 - size
-            if not last[end] and (not start or last[start]):
+            left = last[start]
+            if not last[end] and (left or not start):
                 piece = text[start:end]
-                if self.fits(last[start], piece):
+                fit = known((left, piece))
+                if self.fits(left, piece) if fit is None else fit:
                     last[end] = piece
         ids, at = [], len(text)
         while at:
@@ -112,6 +136,8 @@ class Encoder:
 
     def ids(self, text: str) -> list[int]:
         """Ids of any text with marks for spaces: runs of known characters by the table, the others as bytes."""
+        if self.letters.issuperset(text):
+            return self.known(text)
         out: list[int] = []
         start, pieces = 0, self.v.pieces
         for i, c in enumerate(text):
@@ -127,51 +153,32 @@ class Encoder:
             out += self.known(text[start:])
         return out
 
-    def word(self, text: str) -> bytes:
-        found = self.words.get(text)
-        if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            ids = self.ids(text)
-            found = b"".join([i.to_bytes(4, "little") for i in ids])
-            if len(text) <= 64:
-                self.words[text] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         """All ids as little-endian 32-bit integers, with those for begin and end."""
         v = self.v
         body = b""
         if text:
             marked = v.prefix + text.replace(" ", SPACE)
-            body = b"".join(map(self.word, words(marked))) if self.cuts else self.word(marked)
+            body = b"".join(map(self.words.__getitem__, WORD.findall(marked) if self.cuts else [marked]))
         return v.begin.to_bytes(4, "little") + body + v.end.to_bytes(4, "little")
 
 
-def words(marked: str) -> Iterator[str]:
-    """The text cut before each run of marks for a space."""
-    parts = marked.split(SPACE)
-    if parts[0]:
-        yield parts[0]
-    run = 0
-    for p in parts[1:]:
-        run += 1
-        if p:
-            yield SPACE * run + p
-            run = 0
-    if run:
-        yield SPACE * run
-
-
 class Decoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.byte_of = {i: b for b, i in v.bytes.items()}
+        # Texts of pieces that need no care: plain ones, and control pieces without text.
         self.plain = {i: t.replace(SPACE, " ") for i, t in v.text_of.items() if i not in v.surface and i not in self.byte_of}
+        self.easy = self.plain | {i: "" for i, t in v.surface.items() if not t}
 
     def decode(self, ids: memoryview | list[int]) -> str:
         """The text of ids: pieces with marks as spaces, one leading space dropped if the model adds it,
         runs of bytes as UTF-8 in which each byte that fits nowhere becomes U+FFFD."""
+        try:
+            text = "".join(map(self.easy.__getitem__, ids))
+            return text[1:] if self.v.prefix and text[:1] == " " else text
+        except KeyError:
+            pass
         out: list[str] = []
         run = bytearray()
         plain, first = self.plain, bool(self.v.prefix)
@@ -227,7 +234,11 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def start():
-        encoder, decoder = Encoder(vocabulary.value), Decoder(vocabulary.value)
+        # Kept with the broadcast value, so that the tasks of a worker share what is remembered.
+        v = vocabulary.value
+        if not hasattr(v, "tools"):
+            v.tools = Encoder(v), Decoder(v)
+        encoder, decoder = v.tools
 
         def run(texts: list) -> list:
             rows = []
@@ -236,7 +247,7 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
                 ids = memoryview(data).cast("I")
                 back = decoder.decode(ids)
                 row = (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest())
-                rows.append((*row, ids.tolist(), back) if keep else row)
+                rows.append((*row, np.frombuffer(data, np.uint32).astype(np.int32), back) if keep else row)
             return list(zip(*rows)) or [()] * (5 if keep else 3)
 
         return run
