@@ -430,12 +430,12 @@ def fuzzy_levenshtein_join(spark, sf_dir):
 
 
 def _annotated(spark, sf_dir):
-    """Gold and predicted entities: part names of a brand, and the same with letters changed."""
+    """Gold and predicted entities: the names of all parts of a brand, and the same with letters changed or, every fifth, back to front."""
     parts = table(spark, sf_dir, "part").withColumn("doc_id", F.col("p_brand"))
     kind = F.element_at(F.array(*[F.lit(c) for c in V.CLASSES]), (F.col("p_size") % 7 + 1).cast("int"))
-    gold = parts.select("doc_id", F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("text"), kind.alias("class")).filter("ord % 40 < 4")
+    gold = parts.select("doc_id", F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("text"), kind.alias("class"))
     other = F.element_at(F.array(*[F.lit(c) for c in V.CLASSES]), ((F.col("p_size") + (F.col("p_partkey") % 3 == 0).cast("int")) % 7 + 1).cast("int"))
-    pred = parts.select("doc_id", F.col("p_partkey").cast("int").alias("ord"), F.regexp_replace("p_name", "e", "ee").alias("text"), other.alias("class")).filter("ord % 40 < 5")
+    pred = parts.select("doc_id", F.col("p_partkey").cast("int").alias("ord"), F.when(F.col("p_partkey") % 5 == 4, F.reverse("p_name")).otherwise(F.regexp_replace("p_name", "e", "ee")).alias("text"), other.alias("class"))
     return gold, pred
 
 
