@@ -49,9 +49,9 @@ WIDE = {
     "phone_local": re.compile(r"(?<![\w+)(-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
 }
-ASSIGNED = re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,200})")
+ASSIGNED = re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,}+)")
 CLOUD_KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,200}+(?![A-Za-z0-9+/_-])")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])")
 NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señor|Señora|[Nn]ame:|[Cc]ontact:|[A-Z][a-z]+)\.? ((?:[A-Z][a-z]{1,20})(?: [A-Z][a-z]{1,20}){0,2})")
 
 #: Gazetteers: titles and introductions, and given names common in the four languages. Fixed values.

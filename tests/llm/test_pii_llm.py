@@ -48,6 +48,17 @@ def test_find_and_redact(spark, odd):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_long_secrets_are_whole(spark):
+    for n in (200, 300, 5000):
+        key = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:9] + "xQ" for i in range(n // 11 + 1))[:n]
+        for text, at in ((f"Use {key} here", 4), (f"token={key} here", 6), (f'password: "{key}"', 11)):
+            assert [(s, e) for s, k, e in pii.extra_candidates(text, pii.base_spans(text)) if pii.KINDS[k] == "secret"] == [(at, at + n)]
+    # And in the texts that go on to training.
+    docs = spark.createDataFrame([(1, TEXT), (2, f"My token = {key} is this"), (3, f"Use {key} here")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[2] == "My token = <secret> is this" and out[3] == "Use <secret> here"
+
+
 def test_empty_table(none):
     assert pii.find(none).count() == 0 and pii.redact(none).count() == 0
 
