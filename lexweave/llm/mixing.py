@@ -13,7 +13,8 @@ their key. Everything else covers all documents.
 
 Defined results: a null or empty text has no tokens; it has the likelihoods of a text without words and
 its rate follows from them like any other. Rows with the same key are documents of their own. Labelled keys
-that are null or not in the table are passed over. Without labels every domain is equally likely. A domain with no
+that are null or not in the table are passed over. Without labels every domain is equally likely; with some, a domain without any has no
+likelihood, so its target moves no document. A domain with no
 tokens at all can't reach a target; the fit then comes as near as the others allow. Other columns pass
 through take().
 """
@@ -34,8 +35,6 @@ MAX_TRAIN = 6000
 BITS = 16
 #: Steps of the fit at most, and the relative error of the totals at which it ends.
 STEPS, CLOSE = 40, 1e-6
-#: Share of the tokens from which on factors() gives a domain a target.
-LEAST = 0.02
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -149,7 +148,12 @@ def classifier(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     ready = rowwise(picked.select(F.col("_id._k").alias("k"), F.col("_id._y").alias("y"), F.col("_t")).withColumn("ky", F.concat_ws(":", F.col("k").cast("string"), F.col("y").cast("string"))), "ky", "_t", "at array<int>", start)
     found = sorted((r.ky, r["at"]) for r in ready.collect())
-    return calibrated([np.array(a, np.int64) for _, a in found], np.array([int(k.rsplit(":", 1)[1]) for k, _ in found], int), len(DOMAINS))
+    y = np.array([int(k.rsplit(":", 1)[1]) for k, _ in found], int)
+    w = calibrated([np.array(a, np.int64) for _, a in found], y, len(DOMAINS))
+    if len(y):
+        # The constant rules out domains that no label shows; what else they got is left over from the start of the training.
+        w[-1, np.setdiff1d(np.arange(len(DOMAINS)), y)] = -1e3
+    return w
 
 
 def likelihoods(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,10 +180,9 @@ def rate_of(steps: list[list[float]], p: str = "p") -> Column:
     return F.expr(f"aggregate({vectors}, 1.0D, (r, g) -> greatest(0.0D, r - aggregate(zip_with({p}, g, (a, b) -> a * b), 0.0D, (s, x) -> s + x)))")
 
 
-def fit(table: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float = CLOSE, among: np.ndarray | None = None) -> tuple[list[list[float]], np.ndarray]:
-    """The steps' vectors for a table with n_tokens and p, and the totals they reach. Each step is one aggregation. among: the domains whose targets count, all if not given."""
+def fit(table: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float = CLOSE) -> tuple[list[list[float]], np.ndarray]:
+    """The steps' vectors for a table with n_tokens and p, and the totals they reach. Each step is one aggregation."""
     k = len(targets)
-    on = np.arange(k) if among is None else np.asarray(among)
     done: list[list[float]] = []
     best, damp = None, 1.0
     scale = max(float(np.abs(targets).max()), 1e-300)
@@ -189,7 +192,7 @@ def fit(table: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float
         gram = [F.sum(F.when(F.col("r") > 0, F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
         row = rated.agg(*sums, *gram).first()
         total = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-        error = float(np.abs(total - targets)[on].max())
+        error = float(np.abs(total - targets).max())
         if best is not None and error > best[0] * (1 - 1e-9):
             damp /= 2
             if damp < 0.05:
@@ -197,9 +200,7 @@ def fit(table: DataFrame, targets: np.ndarray, steps: int = STEPS, close: float
             done = [*best[1], [damp * x for x in best[3]]]
             continue
         m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        step = np.zeros(k)
-        step[on] = np.linalg.lstsq(m[np.ix_(on, on)] + 1e-9 * max(m.max(), 1e-300) * np.eye(len(on)), (total - targets)[on], rcond=None)[0]
-        step = step.tolist()
+        step = np.linalg.lstsq(m + 1e-9 * max(m.max(), 1e-300) * np.eye(k), total - targets, rcond=None)[0].tolist()
         best = (error, list(done), total, step)
         if error <= close * scale:
             break
@@ -220,14 +221,13 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: f
 
 
 def factors(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As mix(), with targets as multiples of the tokens that each domain is expected to have now. A domain with under LEAST of
-    all tokens has no target: its likelihoods are noise, and halving it would cost documents of the others."""
+    """As mix(), with targets as multiples of the tokens that each domain is expected to have now,
+    however few these are."""
     model = classifier(docs, labels, key, text)
     table = materialize(likelihoods(docs, model, key, text))
     row = table.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(d) for i, d in enumerate(DOMAINS)]).first()
     now = np.array([row[d] or 0.0 for d in DOMAINS])
-    among = np.flatnonzero((now >= LEAST * now.sum()) & (now > 0))
-    steps, _ = fit(table, np.array([wanted.get(d, 1.0) for d in DOMAINS]) * now, among=among) if len(among) else ([], now)
+    steps, _ = fit(table, np.array([wanted.get(d, 1.0) for d in DOMAINS]) * now)
     return table.select(F.col(f"`{key}`"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate_of(steps).alias("rate"))
 
 
