@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame functions only.
 
 A text's paragraphs are a set of 64-bit digests. They are its lines, cut further after sentences that end on one of
-five letters, so that a long line isn't all or nothing and the cuts depend on nothing but the text around them. A text with
-fewer than LEAST of these has its sentences as well, and with fewer than LEAST sentences also its runs of three words.
+five letters, so that a long line isn't all or nothing and the cuts depend on nothing but the text around them. Every text
+has its sentences and its runs of three words as well, whatever its length, so that no edit changes the rule.
 A sketch has three tables of cells; a digest goes into one cell of each, which keeps the
 number, the xor of the digests, and the xor of their check values. The difference of two sketches, cell by
 cell, is the sketch of the two sets' difference. It is peeled: a cell with one digest (its check value
@@ -24,12 +24,14 @@ read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 4
-#: Fewer paragraphs than this are cut more finely.
-LEAST = 8
+#: Texts with fewer paragraphs than this are cut more finely: all.
+LEAST = math.inf
 RETRIES = (4, 16, 64, 1024)
 #: Digests of both sides in a group, about.
 IN_GROUP = 4
@@ -48,8 +50,8 @@ def digests(text: str) -> str:
         return f"filter(split({text}, '{cut}'), v -> v != '' AND NOT v RLIKE '^\\\\x20+$')"
 
     words = let("w", f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), v -> v != '')", "IF(size(w) < 3, w, transform(sequence(0, size(w) - 3), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])))")
-    sentences = let("u", parts("\\\\n|(?<=[.!?])\\\\x20"), f"IF(size(u) < {LEAST}, concat(u, {words}), u)")
-    lines = let("u", parts("\\\\n|(?<=[a-e][.!?])\\\\x20"), f"IF(size(u) < {LEAST}, concat(u, {sentences}), u)")
+    sentences = let("u", parts("\\\\n|(?<=[.!?])\\\\x20"), f"concat(u, {words})")
+    lines = let("u", parts("\\\\n|(?<=[a-e][.!?])\\\\x20"), f"concat(u, {sentences})")
     return f"array_distinct(transform({lines}, v -> xxhash64(v)))"
 
 
