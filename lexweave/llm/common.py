@@ -32,23 +32,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset and Spark runs in this process alone, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders written by materialize() and not yet removed, in order.
+_written: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back. This cuts the lineage, so that a lost
-    executor costs no recomputation and every reader sees the same rows."""
+    executor costs no recomputation and every reader sees the same rows. The folder is removed by release(), and else when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lexweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_so_far() -> int:
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Remove the folders written since then, but for those that the tables to keep are read from."""
+    kept = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
+    for path in _written[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            files, at = _file_system(spark, path)
+            files.delete(at, True)
+            _written.remove(path)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def rowwise(df: DataFrame, key: str, text: str, fields: str, start: Callable[[], Callable[[list], list]], name: str | None = None) -> DataFrame:
     """key (called `name`, if given) and `fields` of each row. start() is called once for a task; what it returns gets the texts of
     a batch and returns the columns. Keys stay in Arrow, so nulls and large integers come through."""
@@ -61,7 +97,7 @@ def rowwise(df: DataFrame, key: str, text: str, fields: str, start: Callable[[],
             columns = made(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])]], schema=arrow)
 
-    return df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
 class WordHashes(dict):

@@ -1,27 +1,29 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Documents are sets of shingles of five words. Each of TREES trees labels a set with up to DEPTH min-hash
-values of 16 bits; the label, an integer, sorts as the trie of its values does, and two sets match as
-deep as their labels share a prefix. The prefix is shortened from the full depth until, for sets at
-the threshold, the chance of sharing it in at least one tree reaches the target recall. Sets
-that share this prefix in a tree are candidates; a pair is handled in the first such tree only, and
-its similarity is then computed from the whole sets.
+Documents are sets of shingles of five words. Each of TREES trees labels a set with DEPTH min-hash values of 16 bits; the label,
+an integer, sorts as the trie of its values does, and two sets match in a tree as deep as their labels share a prefix. A trie
+is held as the table of its nodes - tree, depth, prefix, number of sets below -, made from the labels sorted by tree; nodes with a single set are left out.
+
+Each set starts with its matched prefixes at full depth in all trees. They are shortened, those first that bring the fewest further candidates for
+what they add to the chance of a meeting, until a pair at the threshold is missed with a chance of 1 - recall at most. So a
+set in a crowded node, such as one with a common passage, stays deep in that tree and makes up for it in others, and a set whose nodes are
+sparse goes as short as SHORTEST for nothing. The candidates of a set are those in its nodes at these depths. A pair is handled in the first tree in which either set meets
+the other so, and its similarity is then computed from the whole sets.
 
 Equal sets are one class with one representative throughout, so copies cost nothing. The links of
 a document are the other documents, copies included, whose similarity reaches the threshold; its
 class is its component under links, named by the least key in it. Nothing emits the pairs of a
-group: a task hands on the number of links of each member and a spanning forest. A bucket of more than
+group: a task hands on the number of links of each member and a spanning forest. A node of more than
 BLOCK members is dealt out as pairs of blocks.
 
 Defined results: a text of one to four words is one shingle; a text without words, or null, has
-the empty set, and empty sets equal one another only. Rows with the same key are documents of their
-own; a class without any key that isn't null is named null. Other columns are not read by join() and
-pass through keep_one().
+the empty set, and empty sets equal one another only. Very long texts are hashed whole, a slab at a time. Ties: of rows alike in key and set keep_one() leaves one. Rows with the same key are documents of their
+own; a class without any key that isn't null is named null. An empty table gives no rows. Other columns are not read by join() and
+pass through keep_one(), whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,45 +32,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import SIMILARITY, WordHashes, groups, materialize, mixed, rowwise, shingles, words_of
+from lexweave.llm.common import SIMILARITY, WordHashes, fresh_name, groups, materialize, mixed, rowwise, shingles, words_of
 
 TREES = 24
-DEPTH = 4
-#: Bits of each value in a label.
-BITS = 16
+#: Values of a label: four of 16 bits fill an integer.
+DEPTH, BITS = 4, 16
+#: No prefix is shortened beyond this depth; it must reach the recall in all trees together.
+SHORTEST = 2
 #: Of pairs right at the threshold, so many are met at least; above it the chance is still better.
 RECALL = 1 - 1e-7
-#: Members of a bucket that a task holds at once are at most twice so many.
+#: Members of a node that a task holds at once are at most twice so many.
 BLOCK = 512
-#: Shingles handled at once when min-hashing; bounds memory for long texts.
-SLAB = 2048
-
-
-def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix for which two sets of this similarity meet in a tree with the wanted chance."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - similarity**d) ** trees >= recall:
-            return d
-    return 1
-
-
-def labels(h: np.ndarray, seeds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The trees' labels, to this depth, of a set of shingle hashes: 16 bits of each min-hash value, the first the highest."""
-    least = np.full(len(seeds), np.uint64(2**64 - 1))
-    for i in range(0, len(h), SLAB):
-        part = (h[i : i + SLAB, None] ^ seeds[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
-    b = (mixed(least) >> np.uint64(64 - BITS)).reshape(trees, depth)
+#: Shingles handled at once when min-hashing and counting common ones; bounds memory for long texts.
+SLAB = 1024
+
+
+def labels(h: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], trees: int) -> np.ndarray:
+    """The trees' labels of a set of shingle hashes: 16 bits of each min-hash value, the first the highest."""
+    add, times = seeds
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(add), np.uint32(2**32 - 1))
+    for i in range(0, len(x), SLAB):
+        part = x[None, i : i + SLAB] ^ add[:, None]
+        part *= times[:, None]
+        least = np.minimum(least, part.min(axis=1))
+    values = (mixed(least.astype(np.uint64)) >> np.uint64(64 - BITS)).reshape(trees, DEPTH)
     out = np.zeros(trees, np.uint64)
-    for d in range(depth):
-        out = (out << np.uint64(BITS)) | b[:, d]
+    for d in range(DEPTH):
+        out = (out << np.uint64(BITS)) | values[:, d]
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, trees: int, prefix: int) -> DataFrame:
-    """key, digest (of the shingle set) and the trees' labels of each document. Values beyond the prefix at which the
-    shortening ends are never compared and so not made."""
-    seeds = mixed(np.arange(1, trees * prefix + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def seeds_for(trees: int) -> tuple[np.ndarray, np.ndarray]:
+    s = mixed(np.arange(1, 2 * trees * DEPTH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    s = (s >> np.uint64(32)).astype(np.uint32)
+    return s[::2], s[1::2] | np.uint32(1)
+
+
+def signatures(docs: DataFrame, key: str, text: str, trees: int) -> DataFrame:
+    """key, digest (of the shingle set) and the trees' labels of each document."""
+    seeds = seeds_for(trees)
 
     def start():
         hashes = WordHashes()
@@ -78,7 +81,7 @@ def signatures(docs: DataFrame, key: str, text: str, trees: int, prefix: int) ->
             for t in texts:
                 h = np.unique(shingles(words_of(t), hashes))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                found.append(labels(h, seeds, trees, prefix).astype(np.int64) if len(h) else None)
+                found.append(labels(h, seeds, trees).astype(np.int64) if len(h) else None)
             return [digests, found]
 
         return run
@@ -86,13 +89,59 @@ def signatures(docs: DataFrame, key: str, text: str, trees: int, prefix: int) ->
     return rowwise(docs, key, text, "digest binary, labels array<long>", start, "key")
 
 
-def first_meetings(group: np.ndarray, tree: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Which pairs of a bucket have not met in an earlier tree: a matrix of rows by columns, given as places in group."""
-    a, b = group[rows][:, :tree], group[cols][:, :tree]
-    met = np.zeros((len(rows), len(cols)), bool)
-    for t in range(tree):
-        met |= a[:, t][:, None] == b[:, t][None, :]
-    return ~met
+def miss(similarity: float) -> np.ndarray:
+    """Logarithm of the chance that a pair of this similarity doesn't share a prefix of 0, 1, ... DEPTH values in a tree."""
+    return np.log(np.maximum(1 - similarity ** np.arange(DEPTH + 1.0), 1e-300))
+
+
+def shortened(sizes: np.ndarray, similarity: float, recall: float) -> np.ndarray:
+    """The depths to which prefixes are shortened, for an array (sets, trees, DEPTH + 1 - SHORTEST) of the sizes of their nodes at
+    depths SHORTEST to DEPTH.
+
+    A price for a missed chance is raised step by step, and each tree goes to the depth at which the node's size and that price together are
+    the least, until the chance of a miss over all trees is small enough. What that leaves over is spent on going deeper again, in those
+    trees first where it saves most."""
+    lost = miss(similarity)[SHORTEST:]
+    goal = np.log(1 - recall)
+    others = np.maximum(sizes - 1.0, 0.0)
+    out = np.zeros(sizes.shape[:2], np.int64)
+    open_ = np.arange(len(sizes))
+    for price in np.append(0.0, 2.0 ** np.arange(-4, 44)):
+        # Of depths that cost the same, the shorter one.
+        best = np.argmin(others[open_] + price * (lost - lost[0]), axis=2)
+        enough = lost[best].sum(axis=1) <= goal
+        out[open_[enough]] = best[enough]
+        open_ = open_[~enough]
+        if not len(open_):
+            break
+    every = np.arange(len(sizes))
+    now = np.take_along_axis(others, out[:, :, None], 2)[:, :, 0]
+    order = np.argsort(others[:, :, -1] - now, axis=1, kind="stable")
+    left = goal - lost[out].sum(axis=1)
+    for tree in order.T:
+        for d in range(len(lost) - 1, 0, -1):
+            at, more = out[every, tree], lost[d] - lost[out[every, tree]]
+            deeper = (d > at) & (more <= left) & (others[every, tree, d] < others[every, tree, at])
+            left = np.where(deeper, left - more, left)
+            out[every, tree] = np.where(deeper, d, at)
+    return (out + SHORTEST).astype(np.int8)
+
+
+def first_meetings(own: np.ndarray, depths: np.ndarray, tree: int, depth: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Which pairs of a node meet here and have not met in an earlier tree: a matrix of rows by columns, given as places among the members,
+    whose labels and depths these are. Two sets meet in a tree if their labels share a prefix of the shorter one's depth."""
+    x = own.view(np.uint64)
+    out = np.empty((len(rows), len(cols)), bool)
+    step = max(1, 2_000_000 // max(1, len(cols) * max(1, tree)))
+    for lo in range(0, len(rows), step):
+        r = rows[lo : lo + step]
+        here = np.minimum(depths[r, tree][:, None], depths[cols, tree][None, :]) == depth
+        if tree:
+            least = np.minimum(depths[r, None, :tree], depths[None, cols, :tree])
+            differ = (x[r, None, :tree] ^ x[None, cols, :tree]) >> ((DEPTH - least.astype(np.uint64)) * np.uint64(BITS))
+            here &= (differ != 0).all(axis=2)
+        out[lo : lo + step] = here
+    return out
 
 
 def linked(sets: list[np.ndarray], pairs: np.ndarray, similarity: float) -> np.ndarray:
@@ -117,47 +166,91 @@ def linked(sets: list[np.ndarray], pairs: np.ndarray, similarity: float) -> np.n
     return common >= similarity * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - common) - 1e-9
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+def nodes(reps: DataFrame, trees: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """First: tree, depth, node (the prefix), digest, query, queries, others. These are the nodes to which sets are shortened: each such set, a query,
+    and the others below, which stay deeper in this tree, with the numbers of both. Second: digest and depths, a byte for each tree."""
+    if miss(similarity)[SHORTEST] * trees > np.log(1 - recall):
+        raise ValueError("so high a recall at so low a similarity needs more trees")
+    entries = reps.select("digest", F.posexplode("labels").alias("tree", "label"))
+    prefix = [F.shiftrightunsigned("label", BITS * (DEPTH - d)) for d in range(SHORTEST, DEPTH + 1)]
+    top = entries.groupBy("tree", prefix[0].alias("p")).agg(F.count("*").alias("m")).filter("m > 1")
+    near = entries.withColumn("p", prefix[0]).join(top, ["tree", "p"])
+    near = materialize(near.select("digest", "tree", "label", F.col("m").alias("m0")))
+    # The sizes of the deeper nodes, of what is left.
+    sized = near
+    below = near.groupBy("tree", "label").agg(F.count("*").alias("m"))
+    for i in range(1, len(prefix)):
+        found = below.groupBy("tree", prefix[i].alias("p")).agg(F.sum("m").alias(f"m{i}"))
+        sized = sized.withColumn("p", prefix[i]).join(found, ["tree", "p"]).drop("p")
+    names = [f"m{i}" for i in range(len(prefix))]
+    each = sized.groupBy("digest").agg(F.collect_list(F.struct("tree", *names)).alias("at"))
+
+    @F.pandas_udf("binary")
+    def chosen(at: pd.Series) -> pd.Series:
+        sizes = np.ones((len(at), trees, len(names)))
+        for k, found in enumerate(at):
+            for t in found:
+                sizes[k, t["tree"]] = [t[m] for m in names]
+        return pd.Series([d.tobytes() for d in shortened(sizes, similarity, recall)])
+
+    depths = materialize(each.select("digest", chosen("at").alias("depths")))
+    entries = near.select("digest", "tree", "label").join(depths, "digest")
+    depth = F.conv(F.hex(F.substring("depths", F.col("tree") + 1, 1)), 16, 10).cast("int")
+    entries = entries.withColumn("end", depth).withColumn("depth", F.explode(F.sequence(F.lit(SHORTEST), depth)))
+    at = F.expr(f"shiftrightunsigned(label, {BITS} * ({DEPTH} - depth))")
+    entries = materialize(entries.select("tree", "depth", at.alias("node"), (F.col("depth") == F.col("end")).alias("query"), "digest"))
+    asked = F.count_if("query")
+    used = entries.groupBy("tree", "depth", "node").agg(asked.alias("queries"), (F.count("*") - asked).alias("others")).filter("queries > 0 AND queries + others > 1")
+    return entries.join(used, ["tree", "depth", "node"]), depths
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """key, digest, class, n_links and n_copies of each document.
 
-    Shuffles: the signatures once by digest and once by bucket, members of buckets that hold a new
+    Shuffles: the signatures once by digest and once by node, members of nodes that hold a new
     pair, and the texts of the representatives in those. A cluster's size bounds no task.
     """
-    prefix = prefix_depth(similarity, trees, depth, recall)
-    signed = materialize(signatures(docs, key, text, trees, prefix))
+    signed = materialize(signatures(docs, key, text, trees))
     # One representative for each set; its labels are those of any member.
     reps = signed.filter("labels IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), F.first("labels").alias("labels"))
     reps = materialize(reps)
-    entries = reps.select("digest", F.posexplode("labels").alias("tree", "label"))
-    counted = entries.groupBy("tree", "label").agg(F.count("*").alias("m")).filter("m > 1")
-    members = materialize(entries.join(counted, ["tree", "label"]))
-
-    # Pairs of blocks: a member of block i of k goes to all (i, j) and (j, i), once each.
-    members = members.withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("digest"), "k").cast("int"))
-    dealt = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).selectExpr("tree", "label", "least(i, j) a", "greatest(i, j) b", "i", "digest")
-    task = ["tree", "label", "a", "b"]
-    dealt = dealt.join(reps.select("digest", "labels"), "digest").repartition(*task).sortWithinPartitions(*task)
+    members, depths = nodes(reps, trees, similarity, recall)
+
+    # A node's queries meet each other and the others. Small nodes are one task (kind 0); else blocks of queries meet in pairs (kind 0: a member
+    # of block i goes to all (i, j) and (j, i), once each), and with each block of the others (kind 1). So others aren't paired among themselves.
+    small = f"(queries + others <= {BLOCK})"
+    members = members.selectExpr("tree", "depth", "node", "digest", f"query OR {small} AS query", f"IF({small}, 1, int(ceil(queries / {BLOCK}))) AS kq", f"IF({small}, 0, int(ceil(others / {BLOCK}))) AS ko")
+    members = members.selectExpr("*", "int(pmod(xxhash64(digest), IF(query, kq, ko))) AS i")
+    pairs_ = "transform(sequence(0, kq - 1), j -> named_struct('kind', 0, 'a', least(i, j), 'b', greatest(i, j)))"
+    across = "transform(sequence(0, ko - 1), j -> named_struct('kind', 1, 'a', i, 'b', j))"
+    tasks = f"IF(query, IF(ko = 0, {pairs_}, concat({pairs_}, {across})), transform(sequence(0, kq - 1), j -> named_struct('kind', 1, 'a', j, 'b', i)))"
+    task = ["tree", "depth", "node", "kind", "a", "b"]
+    dealt = members.selectExpr("tree", "depth", "node", "query", "i", "digest", f"inline({tasks})")
+    dealt = dealt.join(depths.join(reps.select("digest", "labels"), "digest"), "digest").repartition(*task).sortWithinPartitions(*task)
+
+    def meetings(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, cols, same = sides(g)
+        depths = np.frombuffer(b"".join(g["depths"]), np.int8).reshape(len(g), -1)
+        found = first_meetings(np.stack(g["labels"].to_numpy()), depths, int(g["tree"].iat[0]), int(g["depth"].iat[0]), rows, cols)
+        return rows, cols, np.triu(found, 1) if same else found
 
     def new_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Members with a pair that meets here first."""
         out, held = [], 0
         for g in groups(batches, task):
-            rows, cols, same = sides(g)
-            if len(rows) and len(cols):
-                fresh = first_meetings(np.stack(g["labels"].to_numpy()), int(g["tree"].iat[0]), rows, cols)
-                if same:
-                    np.fill_diagonal(fresh, False)
-                hit = np.union1d(rows[fresh.any(axis=1)], cols[fresh.any(axis=0)])
-                if len(hit):
-                    out.append(g.iloc[hit])
-                    held += len(hit)
+            rows, cols, fresh = meetings(g)
+            hit = np.union1d(rows[fresh.any(axis=1)], cols[fresh.any(axis=0)])
+            if len(hit):
+                out.append(g.iloc[hit])
+                held += len(hit)
             if held > 5000:
                 yield pd.concat(out, ignore_index=True)
                 out, held = [], 0
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    fresh = materialize(dealt.select(*task, "i", "digest", "labels").mapInPandas(new_members, "tree int, label long, a int, b int, i int, digest binary, labels array<long>"))
+    fields = "tree int, depth int, node long, kind int, a int, b int, i int, query boolean, digest binary, labels array<long>, depths binary"
+    fresh = materialize(dealt.select(*task, "i", "query", "digest", "labels", "depths").mapInPandas(new_members, fields))
     # The text of one document of each set that is needed stands for its set.
     # All documents of a set are candidates for that; the least key is taken, for the same text each time.
     wanted = fresh.select("digest").distinct()
@@ -170,10 +263,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
         hashes = WordHashes()
         out, held = [], 0
         for g in groups(batches, task):
-            rows, cols, same = sides(g)
-            new = first_meetings(np.stack(g["labels"].to_numpy()), int(g["tree"].iat[0]), rows, cols)
-            if same:
-                new = np.triu(new, 1)
+            rows, cols, new = meetings(g)
             x, y = np.nonzero(new)
             pairs = np.stack([rows[x], cols[y]], axis=1)
             if not len(pairs):
@@ -194,7 +284,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    found = materialize(full.select(*task, "i", "digest", "labels", "n", "text").mapInPandas(verify, "digest binary, links long, root binary"))
+    found = materialize(full.select(*task, "i", "query", "digest", "labels", "depths", "n", "text").mapInPandas(verify, "digest binary, links long, root binary"))
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     component = components(found.select(F.col("digest").alias("u"), F.col("root").alias("v")).filter("u <> v").distinct())
     # What has no link to another text is left out above: a class of its own.
@@ -207,8 +297,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
 
 
 def sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The members' places on either side of a task of two blocks, or twice all of one block."""
-    a, b, i = g["a"].iat[0], g["b"].iat[0], g["i"].to_numpy()
+    """The members' places on either side of a task, or twice all of one block."""
+    a, b, i, query = g["a"].iat[0], g["b"].iat[0], g["i"].to_numpy(), g["query"].to_numpy(bool)
+    if g["kind"].iat[0]:
+        return np.flatnonzero(query), np.flatnonzero(~query), False
     if a == b:
         every = np.arange(len(g))
         return every, every, True
@@ -251,40 +343,49 @@ def _digests(text: pd.Series) -> pd.Series:
     return text.map(lambda t: xxhash.xxh3_128_digest(np.unique(shingles(words_of(t), hashes)).tobytes()))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """u and root (the least member) of each vertex of the edges (u, v).
+def components(edges: DataFrame) -> DataFrame:
+    """u and root, a vertex of its component, of each vertex of the edges (u, v).
 
-    Every vertex takes the least of itself and its neighbours; edges and vertices are renamed to that
-    and the edges that are left are handled in the same way, until there are none. Each round at least halves
-    what is not yet a root. Only counts reach the driver.
+    Every vertex points to its least neighbour. A path along such pointers can only come back to where it was two steps before, so each tree of
+    pointers has one pair of vertices that point to each other; the lesser becomes its root. Pointers are doubled until all
+    show roots, the trees are shrunk to these, and the edges between them are handled in the same way, until there are none. A tree has two vertices at least,
+    so each round at least halves the number of vertices that still have edges: n vertices take at most log2(n) rounds, of at most log2(n) + 1 doublings each.
+    Only counts reach the driver.
     """
-    edges = materialize(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    edges = materialize(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
     vertices = None
-    for _ in range(rounds):
-        least = edges.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("root"))
-        least = materialize(least)
+    while True:
+        least = edges.groupBy("u").agg(F.min("v").alias("p"))
+        back = least.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        roots = least.join(back, "p", "left").select("u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("root"))
+        roots = materialize(roots)
+        while True:
+            jump = roots.select(F.col("u").alias("root"), F.col("root").alias("next"))
+            jumped = materialize(roots.join(jump, "root").select("u", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            roots = jumped.select("u", "root")
+            if jumped.filter("moved").isEmpty():
+                break
         if vertices is None:
-            vertices = least
+            vertices = roots
         else:
-            step = least.select(F.col("u").alias("root"), F.col("root").alias("next"))
+            step = roots.select(F.col("u").alias("root"), F.col("root").alias("next"))
             vertices = materialize(vertices.join(step, "root", "left").select("u", F.coalesce("next", "root").alias("root")))
-        a, b = least.select("u", F.col("root").alias("x")), least.select(F.col("u").alias("v"), F.col("root").alias("y"))
-        edges = edges.join(a, "u").join(b, "v").filter("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
-        edges = materialize(edges)
+        a, b = roots.select("u", F.col("root").alias("x")), roots.select(F.col("u").alias("v"), F.col("root").alias("y"))
+        edges = materialize(edges.join(a, "u").join(b, "v").filter("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
         if edges.isEmpty():
             return vertices
-    raise RuntimeError("the components did not settle")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the near duplicates: of each class the document with the least key stays, of rows alike in key one."""
+    """docs without the near duplicates: of each class the document with the least key stays, of rows alike in key and set one."""
     found = join(docs, key, text, similarity)
-    keep = found.filter(F.col(key).eqNullSafe(F.col("class")))
-    if found.groupBy(key).count().filter("count > 1").isEmpty():
-        keys = keep.select(F.col(key).alias("_key"))
-        return docs.join(keys, F.col(f"`{key}`") == F.col("_key"), "left_semi") if found.filter(F.col(key).isNull()).isEmpty() else docs.join(keys, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left_semi")
+    own, want, mine = (fresh_name(docs, n) for n in ("key", "want", "digest"))
+    keep = found.filter(F.col(f"`{key}`").eqNullSafe(F.col("class")))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(own))
+    if found.groupBy(f"`{key}`").count().filter("count > 1").isEmpty():
+        return docs.join(keep.select(F.col(f"`{key}`").alias(own)), same if not found.filter(F.col(f"`{key}`").isNull()).isEmpty() else F.col(f"`{key}`") == F.col(own), "left_semi")
     # Keys repeat: rows are told apart by their sets too, which means hashing the texts once more.
-    keys = keep.select(F.col(key).alias("_key"), F.col("digest").alias("_want")).distinct()
-    told = docs.withColumn("_digest", F.pandas_udf(_digests, "binary")(F.col(f"`{text}`")))
-    told = told.join(keys, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_want")), "left_semi")
-    return told.dropDuplicates([key, "_digest"]).drop("_digest")
+    keys = keep.select(F.col(f"`{key}`").alias(own), F.col("digest").alias(want)).distinct()
+    told = docs.withColumn(mine, F.pandas_udf(_digests, "binary")(F.col(f"`{text}`")))
+    told = told.join(keys, same & (F.col(mine) == F.col(want)), "left_semi")
+    return told.dropDuplicates([key, mine]).drop(mine)
