@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,8 +43,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders written by materialize() and not yet removed, in order.
-_written: list[str] = []
+class _Written(threading.local):
+    """Folders that this thread's calls of materialize() wrote and that are not yet removed, in order."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -59,22 +66,22 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     files, at = _file_system(spark, path)
     files.deleteOnExit(at)
-    _written.append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written_so_far() -> int:
-    return len(_written)
+    return len(_WRITTEN.paths)
 
 
 def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
     """Remove the folders written since then, but for those that the tables to keep are read from."""
     kept = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
-    for path in _written[since:]:
+    for path in _WRITTEN.paths[since:]:
         if path.rsplit("/", 1)[-1] not in kept:
             files, at = _file_system(spark, path)
             files.delete(at, True)
-            _written.remove(path)
+            _WRITTEN.paths.remove(path)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -11,18 +11,24 @@ steps' vectors without being stored in between.
 The classifier learns from at most MAX_TRAIN labelled documents, those with the least hash of
 their key. Everything else covers all documents.
 
+take() turns rates into whole copies whose expectation is the rate.
+
 Defined results: a null or empty text has no tokens; it has the likelihoods of a text without words and
 its rate follows from them like any other. Rows with the same key are documents of their own. Labelled keys
 that are null or not in the table are passed over. Without labels every domain is equally likely; with some, a domain without any has no
 likelihood, so its target moves no document. A domain with no
-tokens at all can't reach a target; the fit then comes as near as the others allow. Other columns pass
-through take().
+tokens at all can't reach a target; the fit then comes as near as the others allow. Very long texts count whole. An empty table gives no rows. Other
+columns, whatever their names, pass through take().
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,27 +226,73 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: f
     return table.select(F.col(f"`{key}`"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate_of(steps).alias("rate"))
 
 
-def factors(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As mix(), with targets as multiples of the tokens that each domain is expected to have now,
-    however few these are."""
+def fitted_factors(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str, text: str) -> tuple[np.ndarray, list[list[float]], DataFrame]:
+    """The classifier's weights, the steps of the fit, and the table of likelihoods, with targets as multiples of the tokens
+    that each domain is expected to have now, however few these are."""
     model = classifier(docs, labels, key, text)
     table = materialize(likelihoods(docs, model, key, text))
     row = table.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]).alias(d) for i, d in enumerate(DOMAINS)]).first()
     now = np.array([row[d] or 0.0 for d in DOMAINS])
     steps, _ = fit(table, np.array([wanted.get(d, 1.0) for d in DOMAINS]) * now)
+    return model, steps, table
+
+
+def factors(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As mix(), with targets as multiples of the tokens that each domain is expected to have now."""
+    _, steps, table = fitted_factors(docs, labels, wanted, key, text)
     return table.select(F.col(f"`{key}`"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate_of(steps).alias("rate"))
 
 
-def copies(rate: Column, key: Column, seed: int = 7, slack: float = 0.0) -> Column:
-    """Whole copies with `rate` as their expectation, by a hash of the key. A rate within `slack` of a whole number is rounded to it."""
-    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
-    near = F.abs(rate - F.round(rate)) <= slack
-    return F.when(near, F.round(rate)).otherwise(F.floor(rate + u)).cast("int")
+class Rounding:
+    """Whole copies for rates. Documents come one after the other; along each stratum (most likely domain, magnitude of the length) the
+    rates are summed up from a random start below one, and a document gets as many copies as there are whole numbers between the sums before and after it.
+    So its expected copies are its rate exactly, and the copies of a stratum differ from the sum of its rates by less than one."""
+
+    def __init__(self, seed: str):
+        self.seed = seed
+        self.sums: dict[tuple[int, int], float] = {}
 
+    def copies(self, rate: float, n: int, p: np.ndarray) -> int:
+        stratum = int(np.argmax(p)), n.bit_length()
+        if stratum not in self.sums:
+            self.sums[stratum] = xxhash.xxh64_intdigest(f"{self.seed}:{stratum}") / 2**64
+        total = self.sums[stratum] + rate
+        whole = int(total)
+        self.sums[stratum] = total - whole
+        return whole
 
-def take(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str = "doc_id", text: str = "text", slack: float = 0.4) -> DataFrame:
-    """docs with each document as often as its rate says (see copies()), with targets as in factors()."""
-    rated = factors(docs, labels, wanted, key, text).groupBy(key).agg(F.max("rate").alias("_rate"))
-    n = rated.select(F.col(key).alias("_key"), copies(F.col("_rate"), F.col(key), slack=slack).alias("_copies")).filter("_copies > 0")
-    joined = docs.join(n, F.col(f"`{key}`").eqNullSafe(F.col("_key")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"`{c}`" for c in docs.columns])
+
+def rates(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
+    """As rate_of(), for an array (documents, domains)."""
+    r = np.ones(len(p))
+    for g in steps:
+        r = np.maximum(0.0, r - p @ np.array(g))
+    return r
+
+
+def take(docs: DataFrame, labels: DataFrame, wanted: dict[str, float], key: str = "doc_id", text: str = "text", seed: str = "mix") -> DataFrame:
+    """docs with each document as often as its rate says, in expectation (see Rounding), with targets as in factors().
+
+    The rate is found from a row's own text, so rows with the same key are documents of their own. The texts are read once more for
+    that; nothing is joined or shuffled. Which documents of a stratum stay follows from the order of the rows and the partitions."""
+    model, steps, _ = fitted_factors(docs, labels, wanted, key, text)
+    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, w = Slots(), shared.value
+        rounding = Rounding(f"{seed}:{TaskContext.get().partitionId()}")
+        for b in batches:
+            rows = [features(t, slots) for t in b.column(at).to_pylist()]
+            if not rows:
+                continue
+            p = np.stack([probabilities(w, ones) for _, ones in rows]).astype(float)
+            rate, times = rates(p, steps), [0] * len(rows)
+            # Those of a batch by length, so that the copies have the lengths of what they stand for.
+            for i in sorted(range(len(rows)), key=lambda i: rows[i][0]):
+                times[i] = rounding.copies(rate[i], rows[i][0], p[i])
+            while any(times):
+                yield b.take(pa.array(np.flatnonzero(times)))
+                times = [max(0, k - 1) for k in times]
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """Each stage against plain Python on its own input, and the whole."""
 
 import hashlib
+import os
 import struct
 from collections import Counter
 
@@ -82,11 +83,11 @@ def test_mixing(spark, docs):
         on = rates > 0
         gram = (n[on, None] * p[on]).T @ p[on]
         rates = np.maximum(0, rates - p @ np.linalg.lstsq(gram + 1e-9 * gram.max() * np.eye(3), (n * rates) @ p - target, rcond=None)[0])
+    # Each document as often as the rate rounded down or up; over all as many as the rates add up to, but for one of each stratum and partition.
     copies = Counter(r[0] for r in rows(out))
-    clear = [i for i, r in enumerate(rates) if abs(r - round(r)) < 0.38]
-    assert len(clear) > len(rates) / 2
-    for i in clear:
-        assert copies[all_[i].doc_id] == round(rates[i])
+    assert all(abs(copies[d.doc_id] - r) < 1 for d, r in zip(all_, rates))
+    strata = {(int(np.argmax(q)), int(k).bit_length()) for k, q in zip(n, p)}
+    assert abs(sum(copies.values()) - rates.sum()) < len(strata) * docs.rdd.getNumPartitions()
     assert set(rows(out)) <= set(rows(docs))
 
 
@@ -99,6 +100,25 @@ def test_encoding(spark, docs):
         assert got[r.doc_id].ids == ids and got[r.doc_id].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
+def test_clashing_names(spark, docs):
+    """Extra columns named like those that stages make pass through with their values."""
+    names = ["_n", "_key", "_digest", "_copies", "_copy", "_row", "kept", "cleaned", "n_words", "class", "labels", "p", "spans", "_text", "key", "digest"]
+    some = docs.filter("doc_id < 40 OR doc_id >= 10000").selectExpr("*", *[f"concat('{n} ', coalesce(doc_id, 0)) AS `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, some, SMALL)
+        assert out.columns == some.columns, name
+        assert all(r[n] == f"{n} {r.doc_id}" for r in out.collect() for n in names), name
+    assert STAGE["encoding"](spark, some, SMALL).count() == some.count()
+
+
+def test_scratch_is_removed(spark):
+    """After a run one stage's output is left, and that goes with the session."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, SMALL).count()
+    assert len([f for f in set(os.listdir(folder)) - before if not f.startswith(".")]) == 1
+
+
 def test_empty_documents(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), SMALL).count() == 0
