@@ -355,7 +355,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
     vertices = None
     while True:
-        least = edges.groupBy("u").agg(F.min("v").alias("p"))
+        # Written, so that a hot vertex is a key of plain exchanges, which can be split.
+        least = materialize(edges.groupBy("u").agg(F.min("v").alias("p")))
         back = least.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         roots = least.join(back, "p", "left").select("u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("root"))
         roots = materialize(roots)
