@@ -52,13 +52,37 @@ def sentences(c: Column) -> Column:
     return F.split(c, r"(?U)(?<=[.!?])\s+")
 
 
+def _legal_parts(c: Column) -> Column:
+    masked = F.regexp_replace(c, r"(?U)(\d)\.(\d)", "$1·$2")
+    masked = F.regexp_replace(masked, rf"(?iU)\b({'|'.join(V.ABBREVIATIONS)})\.", "$1·")
+    return F.split(masked, r"(?U)(?<=[.!?])\s+(?=[А-ЯA-ZЁ\d])")
+
+
+def _legal_text(part: Column) -> Column:
+    return strip(F.replace(part, F.lit("·"), F.lit(".")))
+
+
 def legal_sentences(c: Column) -> Column:
     """Sentences of legal texts: stops within numbers and after listed abbreviations don't count, and a
     sentence starts with a capital or a digit. A middle dot in the text comes out as a full stop."""
-    masked = F.regexp_replace(c, r"(?U)(\d)\.(\d)", "$1·$2")
-    masked = F.regexp_replace(masked, rf"(?iU)\b({'|'.join(V.ABBREVIATIONS)})\.", "$1·")
-    parts = F.split(masked, r"(?U)(?<=[.!?])\s+(?=[А-ЯA-ZЁ\d])")
-    return F.filter(F.transform(parts, lambda p: strip(F.replace(p, F.lit("·"), F.lit(".")))), lambda p: p != "")
+    return F.filter(F.transform(_legal_parts(c), _legal_text), lambda p: p != "")
+
+
+def legal_spans(c: Column) -> Column:
+    """Structs (sentence, start, end) of legal_sentences(). A sentence is looked for behind the end of the one before, and stands
+    right there if it isn't found (a middle dot that became a full stop)."""
+    none = F.array().cast("array<struct<sentence:string,start:int,end:int>>")
+    first = F.struct(none.alias("done"), F.lit(0).alias("at"))
+
+    def add(state: Column, part: Column) -> Column:
+        s = _legal_text(part)
+        found = F.call_function("locate", s, c, state["at"] + 1) - 1
+        start = F.when(found >= 0, found).otherwise(state["at"]).cast("int")
+        span = F.struct(s.alias("sentence"), start.alias("start"), (start + F.length(s)).cast("int").alias("end"))
+        blank = F.struct(state["done"].alias("done"), (state["at"] + F.length(part) + 1).cast("int").alias("at"))
+        return F.when(s == "", blank).otherwise(F.struct(F.concat(state["done"], F.array(span)).alias("done"), span["end"].alias("at")))
+
+    return F.aggregate(_legal_parts(c), first, add, lambda s: s["done"])
 
 
 def clean_text(c: Column) -> Column:
@@ -92,12 +116,33 @@ def lemmatized(c: Column, lemmas: Column | None = None) -> Column:
     return F.array_join(words if lemmas is None else F.transform(words, lambda w: F.coalesce(lemmas[w], w)), " ")
 
 
+def normal_form(c: Column, lemmas: Column | None = None) -> Column:
+    """Words in their normal forms, with everything between them kept; stripped. lemmas: a map from words in lower case; without one,
+    the text in lower case."""
+    if lemmas is None:
+        return strip(F.lower(c))
+    pieces = F.regexp_extract_all(c, F.lit(r"(?U)\w+|[^\w\s]+|\s+"), F.lit(0))
+    return strip(F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\p{L}"), F.coalesce(lemmas[F.lower(p)], F.lower(p))).otherwise(p)), ""))
+
+
+def whole_fences(c: Column) -> Column:
+    """The other way to take code fences off a reply: its first line goes, and its last if that is nothing but a fence."""
+    t = strip(c)
+    return F.when(t.startswith("```"), strip(F.regexp_replace(F.regexp_replace(t, r"^[^\n]*(\n|$)", ""), r"(^|\n)```$", ""))).otherwise(t)
+
+
 def without_fences(c: Column) -> Column:
     """What stands in a reply's code fences, without a language mark."""
     t = strip(c)
     return F.when(t.startswith("```"), strip(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"(?s)\n?```.*$", ""))).otherwise(t)
 
 
+def json_text(c: Column) -> Column:
+    """A value as a JSON string, null if it is missing."""
+    whole = F.to_json(F.struct(c.cast("string").alias("v")))
+    return F.when(c.isNull(), "null").otherwise(whole.substr(F.lit(6), F.length(whole) - 6))
+
+
 def repaired_escapes(c: Column) -> Column:
     """Backslashes that start no JSON escape are doubled."""
     return F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\")
@@ -139,6 +184,13 @@ def prompt_lines(items: Column, template: str, *fields: str) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.format_string("%d. " + template, (i + 1).cast("int"), *[x[f] for f in fields])), "\n")
 
 
+def page_text(c: Column) -> Column:
+    """The text of a page's main part, if it is marked as such (main or article) and has five lines or more; otherwise that of the whole page."""
+    main = F.regexp_extract(c, r"(?is)<(main|article)\b[^>]*>(.*)</\1>", 2)
+    found = html_text(main)
+    return F.when((main != "") & (F.size(F.split(found, "\n")) >= 5), found).otherwise(html_text(c))
+
+
 def html_text(c: Column) -> Column:
     """The text of a page: without scripts, styles and page furniture, a line for each run between tags."""
     furniture = ["script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"]

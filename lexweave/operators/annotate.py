@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.operators import entities as E
+from lexweave.operators import relations as R
+from lexweave.operators import terms as terms_
 
 TERMS = "struct<terms:array<struct<text:string,context:string,confidence:string,reason:string>>>"
 ENTITIES = "struct<entities:array<struct<text:string,class:string,confidence:string,comment:string>>>"
@@ -52,6 +55,74 @@ def parsed(reply: F.Column, schema: str) -> F.Column:
     return F.from_json(T.repaired_escapes(T.without_fences(reply)), schema)
 
 
+#: Terms in a prompt for classes, pairs in one for relations, characters of context that go along.
+TERMS_IN_BATCH, PAIRS_IN_BATCH, CONTEXT = 15, 20, 120
+
+
+def term_prompts(docs: DataFrame, key: str = "doc_id", longest: int = 12000) -> DataFrame:
+    """A prompt (key, part, prompt) for each chunk of each document's text."""
+    rows = docs.select(key, "type", "product", F.posexplode(terms_.packed(F.col("text"), longest)).alias("part", "_body"))
+    return rows.select(key, "part", F.concat_ws("\n", F.concat(F.lit("type: "), "type"), F.concat(F.lit("product: "), "product"), "_body").alias("prompt"))
+
+
+def class_batches(merged: DataFrame, key: str = "doc_id", size: int = TERMS_IN_BATCH) -> DataFrame:
+    """Merged terms in their order, in batches: key, batch, ord, text, context."""
+    rows = merged.select(key, F.col("position").alias("ord"), "text", "context")
+    return E.batched(rows, size, [key], ["ord"]).select(key, F.col("batch").cast("int").alias("batch"), "ord", "text", "context")
+
+
+def class_prompts(docs: DataFrame, batches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A prompt (key, part, prompt) for each batch of terms: numbered, each with the start of its context."""
+    items = F.array_sort(F.collect_list(F.struct("ord", "text", F.substring(F.coalesce("context", F.lit("")), 1, CONTEXT).alias("context"))))
+    rows = batches.groupBy(key, F.col("batch").alias("part")).agg(items.alias("_i")).join(docs.select(key, "type", "product"), key)
+    lines = T.prompt_lines(F.col("_i"), 'термин: "%s"\n   контекст: "%s"', "text", "context")
+    return rows.select(key, "part", F.concat_ws("\n", F.concat(F.lit("type: "), "type"), F.concat(F.lit("product: "), "product"), lines).alias("prompt"))
+
+
+def relation_pairs(docs: DataFrame, entities: DataFrame, key: str = "doc_id", size: int = PAIRS_IN_BATCH) -> DataFrame:
+    """Directed pairs of entities (ord, id, text, class) that stand in the same sentence of the legal splitter, by text or by lemma, in batches of one sentence each:
+    key, part, pos, sentence, subject_id, subject_text, subject_class, object_id, object_text, object_class, allowed."""
+    sentences = docs.select(key, F.posexplode(T.legal_sentences(F.col("text"))).alias("sent_ord", "sentence"))
+    members = E.in_sentence(sentences, entities.select(key, "ord", "id", "text", "class"), key, lemmas=True)
+    found = R.directed(R.pairs(members, [key, "sent_ord", "sentence"]))
+    order = Window.partitionBy(key, "sent_ord").orderBy(F.least("subject.ord", "object.ord"), F.greatest("subject.ord", "object.ord"))
+    found = found.withColumn("_n", F.row_number().over(order) - 1)
+    # Batches are numbered through the document: those of a sentence follow those of the one before.
+    found = found.withColumn("part", (F.col("sent_ord") * 100_000 + F.floor(F.col("_n") / size)).cast("int")).withColumn("pos", (F.col("_n") % size).cast("int"))
+    sides = [F.col(f"{s}.{c}").alias(f"{s}_{n}") for s in ("subject", "object") for c, n in (("id", "id"), ("text", "text"), ("class", "class"))]
+    return found.select(key, "part", "pos", "sentence", *sides, "allowed")
+
+
+def pair_prompts(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A prompt (key, part, prompt) for each batch of pairs: the sentence, then the pairs with what is allowed."""
+    allowed = F.concat(F.lit("["), F.array_join(F.concat("allowed", F.array(F.lit("no_relation"))), ", "), F.lit("]"))
+    items = F.array_sort(F.collect_list(F.struct("pos", "subject_text", "subject_class", "object_text", "object_class", allowed.alias("allowed"))))
+    rows = pairs.groupBy(key, "part").agg(F.first("sentence").alias("_s"), items.alias("_i"))
+    lines = T.prompt_lines(F.col("_i"), "«%s» (%s) → «%s» (%s)  allowed: %s", "subject_text", "subject_class", "object_text", "object_class", "allowed")
+    return rows.select(key, "part", F.concat_ws("\n", "_s", lines).alias("prompt"))
+
+
+def document_prompts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A prompt (key, part 0, prompt) for each whole document."""
+    return docs.select(key, F.lit(0).alias("part"), F.concat_ws("\n", F.concat(F.lit("id: "), F.col(key).cast("string")), F.concat(F.lit("type: "), "type"), F.concat(F.lit("product: "), "product"), "text").alias("prompt"))
+
+
+def document_records(docs: DataFrame, replies: DataFrame, annotator: str, key: str = "doc_id") -> DataFrame:
+    """A record of each whole-document annotation: id, status, error and the record as JSON. A reply without an object, and a failed call, is an
+    error, whose record holds neither type, product, source nor annotation."""
+    rows = docs.join(replies.select(key, "reply", "error"), key, "left")
+    body = T.whole_fences(F.col("reply"))
+    fine = F.col("error").isNull() & F.coalesce(F.get_json_object(body, "$").startswith("{"), F.lit(False))
+    error = F.when(~fine, F.coalesce("error", F.when(F.col("reply").isNull(), "no reply").otherwise("JSONDecodeError")))
+    field = lambda n, c: F.concat(F.lit(f'"{n}":'), T.json_text(F.col(c)))
+    now = F.concat(F.lit('"timestamp":"'), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"'))
+    rows = rows.withColumn("error", error).withColumn("_by", F.lit(annotator))
+    good = F.concat_ws(",", field("id", key), field("doc_type", "type"), field("product", "product"), field("source", "source"), field("text", "text"), field("annotator", "_by"), now, F.concat(F.lit('"annotation":'), F.get_json_object(body, "$")), F.lit('"status":"ok"'))
+    bad = F.concat_ws(",", field("id", key), field("text", "text"), field("annotator", "_by"), now, F.lit('"status":"error"'), field("error", "error"))
+    status = F.when(F.col("error").isNull(), "ok").otherwise("error")
+    return rows.select(F.col(key).cast("string").alias("id"), status.alias("status"), "error", F.concat(F.lit("{"), F.when(status == "ok", good).otherwise(bad), F.lit("}")).alias("annotation"))
+
+
 def confidence(c: F.Column, default: float) -> F.Column:
     """Numbers come quoted or not; what is no number is the default."""
     return F.coalesce(c.try_cast("double"), F.lit(default))

@@ -6,20 +6,26 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions import vocabulary as V
 
 
+def _one_per(df: DataFrame, keys: list[str], pick) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    # One row goes on from each group and task, so a hot group is no larger than another.
+    return df.groupBy(*keys).agg(pick(F.struct(*rest)).alias("_row")).select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def first_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each group of equal keys by `order`."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    return _one_per(df, keys, lambda row: F.min_by(row, order))
 
 
 def last_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+    return _one_per(df, keys, lambda row: F.max_by(row, order))
 
 
 def numbered(df: DataFrame, prefix: str, within: list[str], order: list, name: str = "id") -> DataFrame:
@@ -32,33 +38,59 @@ def batched(df: DataFrame, size: int, within: list[str], order: list) -> DataFra
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1) / size).cast("long"))
 
 
-def dictionary_match(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
-    """Mentions of phrases (phrase, label): exact runs of words, the longest first, without overlaps.
+#: Words are runs of letters, digits, underscores and hyphens.
+WORD = r"[\p{L}\p{N}_-]+"
 
-    Words are runs of letters, digits and hyphens. Candidates are runs of up to `longest` words, joined to the
-    phrases by equality - as a broadcast when there are no more phrases than `broadcast_rows`, counted here, otherwise
-    by shuffle. Overlaps are resolved in each document's own row of hits."""
-    words = F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\w-]+"), F.lit(0))
-    rows = docs.select(key, words.alias("w")).select(key, F.inline_outer(F.array(F.struct("w"))))
-    none = F.array().cast("array<struct<pos:int,len:int,phrase:string>>")
 
-    def runs(n: int):
-        of = F.transform(F.sequence(F.lit(0), F.size("w") - F.lit(n)), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("phrase")))
-        return F.when(F.size("w") >= n, of).otherwise(none)
+def _words(docs: DataFrame, key: str, text: str, ahead: int) -> DataFrame:
+    """key, pos, word, start and end (e0) of each word, with `ahead` following words and their ends (w1, e1, ...). The documents are dealt out by key once, and
+    all that follows stays in that order."""
+    found, gaps = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.split(F.col(text), WORD)
+    rows = docs.select(key, text).repartition(key).select(key, F.posexplode(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("word"))).alias("pos", "z"))
+    rows = rows.select(key, "pos", F.col("z.word").alias("word"), F.length("z.gap").alias("gap"), F.length("z.word").alias("size"))
+    order = Window.partitionBy(key).orderBy("pos")
+    rows = rows.withColumn("e0", F.sum(F.col("gap") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    later = [f(c, k).over(order).alias(f"{n}{k}") for k in range(1, ahead + 1) for f, c, n in ((F.lead, "word", "w"), (F.lead, "e0", "e"))]
+    return rows.select(key, "pos", "word", (F.col("e0") - F.col("size")).alias("start"), "e0", *later)
 
-    candidates = rows.select(key, F.inline(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)]))))
-    small = phrases.limit(broadcast_rows + 1).count() <= broadcast_rows
-    hits = candidates.join(F.broadcast(phrases) if small else phrases, "phrase")
-    hits = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("neg_len"), "pos", "phrase", "label"))).alias("hits"))
-    none = F.array().cast("array<struct<neg_len:int,pos:int,phrase:string,label:string>>")
-    taken = F.aggregate("hits", none, lambda out, h: F.when(F.exists(out, lambda o: (o["pos"] < h["pos"] - h["neg_len"]) & (h["pos"] < o["pos"] - o["neg_len"])), out).otherwise(F.concat(out, F.array(h))))
-    return hits.select(key, F.inline(taken)).select(key, "pos", (-F.col("neg_len")).alias("len"), "phrase", "label")
 
+def phrase_table(spark) -> DataFrame:
+    """The engine's own phrases: phrase, label."""
+    return spark.createDataFrame([(p, label) for label, ps in V.PHRASES.items() for p in ps], "phrase string, label string")
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+    """All mentions of phrases (phrase, label), which may overlap: key, pos (of the first word), len (words), phrase, label, start, end (characters).
+
+    A mention is a run of the phrase's words, whatever stands between them. Keys are unique. Words that start no phrase are left out first, then
+    runs of the lengths that phrases have are joined by equality. Both joins are broadcasts if there are no more phrases than `broadcast_rows`, counted
+    here, otherwise by shuffle."""
+    words = F.regexp_extract_all("phrase", F.lit(WORD), F.lit(0))
+    known = phrases.select("phrase", "label", words.alias("_w")).filter("size(_w) > 0")
+    size = known.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.size("_w"))).alias("lengths")).first()
+    known = known.select("phrase", "label", F.array_join("_w", " ").alias("_run"), F.col("_w")[0].alias("word"))
+    sent = F.broadcast if size.n <= broadcast_rows else lambda df: df
+    lengths = size.lengths or [1]
+    tokens = _words(docs, key, text, lengths[-1] - 1).join(sent(known.select("word").distinct()), "word", "left_semi")
 
-def character_offsets(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first place of each phrase in each document's text: key, phrase, label, start, end (characters)."""
-    found = docs.select(key, F.col(text).alias("_t")).crossJoin(F.broadcast(phrases)).withColumn("start", F.expr("locate(phrase, _t) - 1"))
-    return found.filter("start >= 0").select(key, "phrase", "label", "start", (F.col("start") + F.length("phrase")).alias("end"))
+    def run(n: int) -> Column:
+        text_ = F.concat_ws(" ", "word", *[f"w{k}" for k in range(1, n)])
+        return F.struct(F.lit(n).alias("len"), F.when(F.col(f"e{n - 1}").isNotNull(), text_).alias("_run"), F.col(f"e{n - 1}").alias("end"))
+
+    each = tokens.select(key, "pos", "start", F.inline(F.array(*[run(n) for n in lengths])))
+    return each.join(sent(known.drop("word")), "_run").select(key, "pos", "len", "phrase", "label", "start", "end")
+
+
+def dictionary_match(docs: DataFrame, phrases: DataFrame | None = None, key: str = "doc_id", text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+    """Mentions without overlaps, as phrase_hits(): the longest go first, of equals the first in the text. phrases: the engine's own, if not given.
+
+    Overlaps are resolved in each document's own row of hits."""
+    phrases = phrase_table(docs.sparkSession) if phrases is None else phrases
+    hits = phrase_hits(docs, phrases, key, text, broadcast_rows)
+    hits = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("neg_len"), "pos", "phrase", "label", "start", "end"))).alias("hits"))
+    none = F.array().cast("array<struct<neg_len:int,pos:int,phrase:string,label:string,start:bigint,end:bigint>>")
+    taken = F.aggregate("hits", none, lambda out, h: F.when(F.exists(out, lambda o: (o["pos"] < h["pos"] - h["neg_len"]) & (h["pos"] < o["pos"] - o["neg_len"])), out).otherwise(F.concat(out, F.array(h))))
+    return hits.select(key, F.inline(taken)).select(key, "pos", (-F.col("neg_len")).alias("len"), "phrase", "label", "start", "end")
 
 
 def labelled(entities: DataFrame) -> DataFrame:
@@ -66,9 +98,10 @@ def labelled(entities: DataFrame) -> DataFrame:
     return entities.withColumn("class", T.mapped(F.col("label"), V.LABELS)).filter(F.col("class").isNotNull()).withColumn("confidence", T.label_confidence(F.col("label")))
 
 
-def normalized_distinct(entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Entities (ord, text, class, label) with normalised texts, the first of each alike, numbered e1, e2, ... again."""
-    rows = entities.withColumn("text", T.lemmatized(F.col("text")))
+def normalized_distinct(entities: DataFrame, key: str = "doc_id", lemmas: Column | None = None) -> DataFrame:
+    """Entities (ord, text, class, label, ...) with normalised texts, the first of each (text, class, label), numbered e1, e2, ... again.
+    Punctuation stays; what has no text then goes. lemmas: see text.normal_form()."""
+    rows = entities.withColumn("text", T.normal_form(F.col("text"), lemmas)).filter("text <> ''")
     return numbered(first_per(rows, [key, "text", "class", "label"], "ord"), "e", [key], ["ord"])
 
 
@@ -81,6 +114,14 @@ def greedy_dedup(entities: DataFrame, key: str = "doc_id", threshold: float = 0.
     document's at a time."""
     schema = f"{key} {entities.schema[key].dataType.simpleString()}, ord int, id string, canonical_id string, canonical_text string"
 
+    def alike(a: str, b: str) -> bool:
+        """As the ratio says; two bounds above it, by lengths and by letters, spare most comparisons."""
+        both = len(a) + len(b)
+        if both and 2 * min(len(a), len(b)) < threshold * both:
+            return False
+        m = SequenceMatcher(None, a, b)
+        return m.quick_ratio() >= threshold and m.ratio() >= threshold
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
         canon: list[dict] = []
@@ -89,7 +130,7 @@ def greedy_dedup(entities: DataFrame, key: str = "doc_id", threshold: float = 0.
         for text, kind, lemma, id_ in zip(rows["text"], rows["class"], rows["lemma"], rows["id"]):
             hit = known.get((kind, lemma))
             if hit is None:
-                hit = next((c for c in canon if c["class"] == kind and SequenceMatcher(None, c["text"].lower(), text.lower()).ratio() >= threshold), None)
+                hit = next((c for c in canon if c["class"] == kind and alike(c["text"].lower(), text.lower())), None)
             if hit is None:
                 hit = {"id": id_, "text": text, "class": kind}
                 canon.append(hit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
@@ -18,13 +18,20 @@ def micro(counts: DataFrame, by: list[str]) -> DataFrame:
     return scored(counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
 
 
+def tallied(rows: DataFrame, by: list[str], gold: Column, predicted: Column) -> DataFrame:
+    """True and false positives and misses of two yes-no columns, by group."""
+    return rows.groupBy(*by).agg(F.count_if(gold & predicted).alias("tp"), F.count_if(~gold & predicted).alias("fp"), F.count_if(gold & ~predicted).alias("fn"))
+
+
 def active(per_class: DataFrame) -> DataFrame:
     return per_class.filter("tp + fp + fn > 0")
 
 
 def compared(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Both, left-only and right-only rows by key, and whether the values of both differ. Later rows replace earlier ones before; tables have `ord`."""
-    side = lambda df, name: df.groupBy(*keys).agg(F.max_by(value, "ord").alias(name))
-    rows = side(left, "left_value").join(side(right, "right_value"), keys, "full_outer")
-    where = F.when(F.col("right_value").isNull(), "left_only").when(F.col("left_value").isNull(), "right_only").otherwise("both")
-    return rows.withColumn("where", where).withColumn("mismatch", (F.col("where") == "both") & (F.col("left_value") != F.col("right_value")))
+    """Both, left-only and right-only rows by key, and whether the values of both differ (two missing values don't). Later rows replace earlier ones
+    before; tables have `ord`."""
+    side = lambda df, name: df.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), "ord").alias(name))
+    rows = side(left, "l").join(side(right, "r"), keys, "full_outer")
+    where = F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only").otherwise("both")
+    rows = rows.select(*keys, F.col("l.v").alias("left_value"), F.col("r.v").alias("right_value"), where.alias("where"))
+    return rows.withColumn("mismatch", (F.col("where") == "both") & ~F.col("left_value").eqNullSafe(F.col("right_value")))

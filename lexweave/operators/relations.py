@@ -16,7 +16,7 @@ def sentence_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     The white space between sentences is split off by the same rule, so offsets are running sums of lengths
     rather than searches."""
     parts = F.split(F.col(text), r"(?U)(?<=[.!?])(?=\s)")
-    rows = docs.select(key, F.posexplode(parts).alias("sent_ord", "part"))
+    rows = docs.select(key, text).repartition(key).select(key, F.posexplode(parts).alias("sent_ord", "part"))
     before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy(key).orderBy("sent_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # All but the first part start with the white space.
     lead = F.when(F.col("sent_ord") > 0, F.length("part") - F.length(F.regexp_replace("part", r"(?U)^\s+", ""))).otherwise(0)
@@ -52,11 +52,13 @@ def rule_relations(docs: DataFrame, entities: DataFrame, key: str = "doc_id", te
 
     Pairs in order whose spans don't overlap; the relation is that of the pattern between them, or else their
     classes' default. Numbered r1, r2, ... in order of sentence and pair."""
-    spans = sentence_spans(docs, key, text)
-    members = E.by_span(spans, entities, key).select(key, "sent_ord", "sentence", "ord", "id", F.col("text").alias("name"), "class", "start", "end")
-    found = pairs(members, [key, "sent_ord", "sentence"]).filter("a.end <= b.start")
-    found = found.join(docs.select(key, F.col(text).alias("_t")), key)
-    between = F.expr("substring(_t, int(a.end) + 1, int(b.start - a.end))")
+    members = E.by_span(sentence_spans(docs, key, text), entities, key)
+    each = F.array_sort(F.collect_list(F.struct("ord", "id", F.col("text").alias("name"), "class", "start", "end")))
+    # A sentence's entities come together, so that its pairs need no join; the text between two is cut from the sentence.
+    groups = members.groupBy(key, "sent_ord").agg(F.first("sentence").alias("sentence"), F.first("sent_start").alias("sent_start"), each.alias("m")).filter("size(m) > 1")
+    firsts = groups.select(key, "sent_ord", "sentence", "sent_start", "m", F.explode("m").alias("a"))
+    found = firsts.select(key, "sent_ord", "sentence", "sent_start", "a", F.explode(F.filter("m", lambda b: (b["ord"] > F.col("a.ord")) & (F.col("a.end") <= b["start"]))).alias("b"))
+    between = F.expr("substring(sentence, int(a.end - sent_start) + 1, int(b.start - a.end))")
     table = docs.sparkSession.createDataFrame(V.PAIR_DEFAULT if defaults is None else defaults, "s string, o string, default string")
     found = found.join(F.broadcast(table), (F.col("a.class") == F.col("s")) & (F.col("b.class") == F.col("o")), "left")
     found = found.withColumn("relation", F.coalesce(T.between_relation(between, patterns), "default")).filter(F.col("relation").isNotNull())
@@ -65,6 +67,16 @@ def rule_relations(docs: DataFrame, entities: DataFrame, key: str = "doc_id", te
     return found.select(key, "ord", "id", F.col("a.id").alias("subject_id"), F.col("a.name").alias("subject_text"), "relation", F.col("b.id").alias("object_id"), F.col("b.name").alias("object_text"), F.lit(0.65).alias("confidence"), T.strip(F.col("sentence")).alias("evidence"))
 
 
+def resolved_again(relations: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Relations with the ids of the entities that have their texts now, the last of several; others keep theirs."""
+    names = entities.groupBy(key, "text").agg(F.max_by("id", "ord").alias("_id"))
+    out = relations
+    for side in ("subject", "object"):
+        n = names.select(key, F.col("text").alias(f"{side}_text"), F.col("_id").alias(f"_{side}"))
+        out = out.join(n, [key, f"{side}_text"], "left").withColumn(f"{side}_id", F.coalesce(f"_{side}", f"{side}_id")).drop(f"_{side}")
+    return out.select(*relations.columns)
+
+
 def distinct_texts(relations: DataFrame, key: str = "doc_id") -> DataFrame:
     """The first of each (subject text, relation, object text); ids stay as they are."""
     return E.first_per(relations, [key, "subject_text", "relation", "object_text"], "ord")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.functions import vocabulary as V
+from lexweave.operators import annotate as A
 from lexweave.operators import entities as E
 from lexweave.operators import graph as G
 from lexweave.operators import matching as M
 from lexweave.operators import metrics as S
+from lexweave.operators import pipelines as P
 from lexweave.operators import relations as R
 from lexweave.operators import terms
 from lexweave.plans.registry import register
@@ -34,24 +36,25 @@ _TFIDF = f"""{_NGRAMS},
 df AS (SELECT ngram, count(*) AS df FROM tf GROUP BY ngram),
 nd AS (SELECT count(*) AS n_docs FROM documents WHERE coalesce(text, '') <> ''),
 scored AS (SELECT doc_id, ngram, tf, total, df, n_docs,
+                  round(CAST(tf AS DOUBLE) / total * ln(CAST(n_docs + 1 AS DOUBLE) / (df + 1)), 9) AS score,
                   row_number() OVER (PARTITION BY doc_id ORDER BY CAST(tf AS DOUBLE) / total * ln(CAST(n_docs + 1 AS DOUBLE) / (df + 1)) DESC, n, first_pos, ngram) AS rank
            FROM tf JOIN tot USING (doc_id) JOIN df USING (ngram) CROSS JOIN nd)"""
 
 
-@register("term_tfidf_topk", f"WITH {_TFIDF} SELECT doc_id, ngram, tf, total, df, n_docs, rank FROM scored WHERE rank <= 20")
+@register("term_tfidf_topk", f"WITH {_TFIDF} SELECT doc_id, ngram, tf, total, df, n_docs, score, rank FROM scored WHERE rank <= 20")
 def term_tfidf_topk(spark, sf_dir):
     found = terms.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "ngram", "tf", "total", "df", "n_docs", F.col("rank").cast("long").alias("rank"))
+    return found.select("doc_id", "ngram", "tf", "total", "df", "n_docs", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @register(
     "term_tf_only_topk",
-    f"""WITH {_NGRAMS}, r AS (SELECT doc_id, ngram, tf, total, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(tf AS DOUBLE) / total * (1 + CAST(0.3 AS DOUBLE) * (n - 1)) DESC, n, first_pos, ngram) AS rank FROM tf JOIN tot USING (doc_id))
-    SELECT doc_id, ngram, tf, total, rank FROM r WHERE rank <= 20""",
+    f"""WITH {_NGRAMS}, r AS (SELECT doc_id, ngram, tf, total, round(CAST(tf AS DOUBLE) / total * (1 + CAST(0.3 AS DOUBLE) * (n - 1)), 9) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(tf AS DOUBLE) / total * (1 + CAST(0.3 AS DOUBLE) * (n - 1)) DESC, n, first_pos, ngram) AS rank FROM tf JOIN tot USING (doc_id))
+    SELECT doc_id, ngram, tf, total, score, rank FROM r WHERE rank <= 20""",
 )
 def term_tf_only_topk(spark, sf_dir):
     found = terms.tf_only(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "ngram", "tf", "total", F.col("rank").cast("long").alias("rank"))
+    return found.select("doc_id", "ngram", "tf", "total", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @register(
@@ -64,13 +67,12 @@ def term_context(spark, sf_dir):
     """Candidates for a prompt: the best fifteen terms with their context."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     top = terms.tfidf(docs, top=15).select("doc_id", F.col("rank").cast("long").alias("rank"), "ngram")
-    return top.join(docs, "doc_id").select("doc_id", "rank", "ngram", terms.context(F.col("text"), F.col("ngram")).alias("context"))
+    return terms.with_contexts(docs, top)
 
 
 @register("ngram_df", f"WITH {_NGRAMS} SELECT ngram, count(*) AS df FROM tf GROUP BY ngram HAVING count(*) > 1")
 def ngram_df(spark, sf_dir):
-    counts = terms.ngram_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).filter(F.length("ngram") > 3)
-    return terms.document_frequencies(counts).filter("df > 1")
+    return terms.document_frequencies(table(spark, sf_dir, "documents")).filter("df > 1")
 
 
 @register("token_filter", f"WITH {_TOKENS} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, array_to_string(w, ' ') AS tokens FROM t")
@@ -109,15 +111,22 @@ def legal_sentence_split(spark, sf_dir):
     return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join("s", "\x01").alias("joined"))
 
 
-@register("chunk_pack")
+_FOLD_CHUNK = "CASE WHEN length(a[len(a)]) + length(x[1]) + 1 > 2000 AND a[len(a)] <> '' THEN list_concat(a, x) WHEN a[len(a)] = '' THEN list_concat(a[:len(a) - 1], x) ELSE list_concat(a[:len(a) - 1], [a[len(a)] || ' ' || x[1]]) END"
+
+
+@register(
+    "chunk_pack",
+    f"""WITH s AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] ELSE list_reduce(list_transform({SPLIT.format('text')}, lambda y: [y]), lambda a, x: {_FOLD_CHUNK}) END AS c FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CAST(i AS INT) AS chunk, CAST(length(c[i + 1]) AS INT) AS n_chars, md5(c[i + 1]) AS digest FROM (SELECT doc_id, c, unnest(range(0, len(c))) AS i FROM s)""",
+)
 def chunk_pack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(terms.packed(F.col("text"), 2000)).alias("chunk", "body"))
     return docs.select("doc_id", "chunk", F.length("body").alias("n_chars"), F.md5("body").alias("digest"))
 
 
-_MERGE_TERMS = f"""{_TOKENS}, w2 AS (SELECT doc_id, unnest(range(0, least(len(w), 30))) AS i, w FROM t),
-terms AS (SELECT doc_id, i AS ord, w[i + 1] AS text, CAST(0.02 AS DOUBLE) AS score, 'statistical' AS source FROM w2 WHERE i < 20
-          UNION ALL SELECT doc_id, 100 + i AS ord, upper(w[i + 1]) AS text, CAST(0.7 AS DOUBLE) + CAST(0.01 AS DOUBLE) * i AS score, 'llm' AS source FROM w2 WHERE i >= 10)"""
+_MERGE_TERMS = f"""{_TOKENS}, w2 AS (SELECT doc_id, i, w[i + 1] AS v FROM (SELECT doc_id, unnest(range(0, len(w))) AS i, w FROM t)),
+terms AS (SELECT doc_id, i AS ord, v AS text, CAST(0.02 AS DOUBLE) AS score, 'statistical' AS source FROM w2 WHERE length(v) > 4
+          UNION ALL SELECT doc_id, 1000000000 + i AS ord, upper(v) AS text, CAST(length(v) AS DOUBLE) / 100 AS score, 'llm' AS source FROM w2 WHERE contains(v, 'e'))"""
 
 
 @register(
@@ -132,10 +141,10 @@ def term_merge(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    """Two sources of terms: the first words of each document, and later ones in capitals."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(T.tokens(F.col("text")), 1, 30)).alias("i", "w"))
-    first = words.filter("i < 20").select("doc_id", F.col("i").alias("ord"), F.col("w").alias("text"), F.lit("").alias("context"), F.lit(0.02).alias("score"), F.lit("statistical").alias("source"))
-    later = words.filter("i >= 10").select("doc_id", (F.col("i") + 100).alias("ord"), F.upper("w").alias("text"), F.lit("").alias("context"), (F.lit(0.7) + F.lit(0.01) * F.col("i")).alias("score"), F.lit("llm").alias("source"))
+    """Two sources of terms from the whole texts: all longer words, and all words with an e in capitals."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("i", "w"))
+    first = words.filter("length(w) > 4").select("doc_id", F.col("i").cast("long").alias("ord"), F.col("w").alias("text"), F.lit("").alias("context"), F.lit(0.02).alias("score"), F.lit("statistical").alias("source"))
+    later = words.filter("contains(w, 'e')").select("doc_id", (F.lit(1_000_000_000).cast("long") + F.col("i")).alias("ord"), F.upper("w").alias("text"), F.lit("").alias("context"), (F.length("w").cast("double") / 100).alias("score"), F.lit("llm").alias("source"))
     return first.unionByName(later)
 
 
@@ -160,16 +169,22 @@ def url_dispatch(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_kind(F.col("url")).alias("kind"), T.safe_filename(F.col("url")).alias("filename"))
 
 
-_HTML = "html"
-for _tag in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
-    _HTML = f"regexp_replace({_HTML}, '(?is)<{_tag}\\b.*?</{_tag}>', '', 'g')"
-_HTML = f"regexp_replace({_HTML}, '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g')"
-for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_e}', '{_c}')"
-_HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '(?m)[^\\S\\n]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+def _html(c: str) -> str:
+    for tag in ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"):
+        c = f"regexp_replace({c}, '(?is)<{tag}\\b.*?</{tag}>', '', 'g')"
+    c = f"regexp_replace({c}, '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g')"
+    for e, x in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{e}', '{x}')"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '(?m)[^\\S\\n]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@register("html_text", f"SELECT page_id, t AS page_text, CASE WHEN t = '' THEN 'empty' WHEN len(string_split(t, chr(10))) < 50 THEN 'short' ELSE 'ok' END AS status FROM (SELECT page_id, {_HTML} AS t FROM pages)")
+@register(
+    "html_text",
+    f"""WITH m AS (SELECT page_id, html, CASE WHEN regexp_extract(html, '(?is)<(main|article)\\b[^>]*>', 1) = '' THEN '' WHEN lower(regexp_extract(html, '(?is)<(main|article)\\b[^>]*>', 1)) = 'main' THEN regexp_extract(html, '(?is)<main\\b[^>]*>(.*)</main>', 1) ELSE regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1) END AS part FROM pages),
+    b AS (SELECT page_id, part, {_html('part')} AS inner_text, {_html('html')} AS whole FROM m),
+    t AS (SELECT page_id, CASE WHEN part <> '' AND len(string_split(inner_text, chr(10))) >= 5 THEN inner_text ELSE whole END AS t FROM b)
+    SELECT page_id, t AS page_text, CASE WHEN t = '' THEN 'empty' WHEN len(string_split(t, chr(10))) < 50 THEN 'short' ELSE 'ok' END AS status FROM t""",
+)
 def html_text(spark, sf_dir):
     return readers.pages(table(spark, sf_dir, "pages")).select("page_id", "page_text", "status")
 
@@ -177,7 +192,7 @@ def html_text(spark, sf_dir):
 @register("json_props_parse", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.reason'), '') AS reason FROM events")
 def json_props_parse(spark, sf_dir):
     """Fields come as text and are cast, so that numbers in quotes count; missing ones get a default."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string, reason string").alias("p"))
+    rows = table(spark, sf_dir, "events").select("event_id", A.parsed(F.col("props"), "k string, reason string").alias("p"))
     return rows.select("event_id", F.col("p.k").try_cast("bigint").alias("k"), F.coalesce("p.reason", F.lit("")).alias("reason"))
 
 
@@ -196,16 +211,17 @@ def manifest_scan(spark, sf_dir):
 
 @register(
     "corpus_union_anti",
-    """SELECT CAST(d.doc_id AS VARCHAR) AS id, 'gold' AS part, coalesce(nullif(d.lang, 'en'), 'unknown') AS type FROM documents d JOIN labels l USING (doc_id)
-    UNION ALL SELECT CAST(d.doc_id AS VARCHAR), 'parsed', 'unknown' FROM documents d WHERE d.text <> '' AND d.doc_id NOT IN (SELECT doc_id FROM labels)""",
+    """SELECT CAST(d.doc_id AS VARCHAR) AS id, 'gold' AS part, CASE WHEN d.lang <> 'en' THEN d.lang WHEN d.n_chars < 1000 THEN 'credit' ELSE 'unknown' END AS type FROM documents d JOIN labels l USING (doc_id)
+    UNION ALL SELECT CAST(d.doc_id AS VARCHAR), 'parsed', CASE WHEN d.n_chars < 1000 THEN 'credit' ELSE 'unknown' END FROM documents d WHERE d.text <> '' AND d.doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def corpus_union_anti(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
     chosen = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
-    gold = docs.join(chosen, "id").select("id", F.coalesce(F.nullif("lang", F.lit("en")), F.lit("unknown")).alias("type"), F.col("source").alias("title"), "source", "text", F.col("doc_id").alias("doc_ord"))
-    parsed = docs.select("id", "text", "source")
-    types = spark.createDataFrame([], "name string, type string")
-    return readers.corpus(gold, parsed, types).select("id", F.when(F.col("doc_ord").startswith("0:"), "gold").otherwise("parsed").alias("part"), "type")
+    gold = docs.join(chosen, "id").select("id", F.nullif("lang", F.lit("en")).alias("type"), F.col("source").alias("title"), "source", "text", F.col("doc_id").alias("doc_ord"))
+    types = docs.filter("n_chars < 1000").select(F.col("id").alias("name"), F.lit("credit").alias("type"))
+    parsed = docs.select("id", "text", F.concat("id", F.lit(".txt")).alias("source"))
+    found = readers.corpus(readers.filled_gold(gold, types, parsed), parsed, types)
+    return found.select("id", F.when(F.col("doc_ord").startswith("0:"), "gold").otherwise("parsed").alias("part"), "type")
 
 
 @register("evaluable_semi", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -215,9 +231,8 @@ def evaluable_semi(spark, sf_dir):
 
 @register("type_lookup_default", "SELECT n.n_name AS name, coalesce(r.r_name, 'unknown') AS type FROM nation n LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey")
 def type_lookup_default(spark, sf_dir):
-    known = table(spark, sf_dir, "region").filter("r_regionkey < 3")
-    rows = table(spark, sf_dir, "nation").join(F.broadcast(known), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select(F.col("n_name").alias("name"), F.coalesce("r_name", F.lit("unknown")).alias("type"))
+    known = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("type"))
+    return readers.with_default(table(spark, sf_dir, "nation"), known, "n_regionkey", "type").select(F.col("n_name").alias("name"), "type")
 
 
 @register("slugify_names", "SELECT p_partkey AS id, 'fin:' || coalesce(nullif(array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ''), ''), 'Unknown') AS uri FROM part")
@@ -225,46 +240,88 @@ def slugify_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.uri(F.concat_ws(" ", "p_name", "p_type")).alias("uri"))
 
 
+_LABELS = ("FIN_PRODUCT", "FIN_ATTRIBUTE", "FIN_ACTOR", "FIN_PROCESS", "FIN_LEGAL", "OTHER")
+_W = "[\\p{L}\\p{N}_-]"
+
+
 def _phrases(spark, sf_dir):
-    """Phrases from the benchmark: the first word, two words and three words of each item."""
-    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(r"(?U)[\w-]+"), F.lit(0)).alias("w"), "item_id")
-    runs = F.array(*[F.array_join(F.slice("w", 1, n), " ") for n in (1, 2, 3)])
-    labels = F.element_at(F.array(*[F.lit(x) for x in ("FIN_PRODUCT", "FIN_ATTRIBUTE", "FIN_ACTOR", "FIN_PROCESS", "FIN_LEGAL", "OTHER")]), (F.col("item_id") % 6 + 1).cast("int"))
+    """Phrases from the whole benchmark: every run of three and of four words of each item."""
+    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(E.WORD), F.lit(0)).alias("w"), "item_id")
+
+    def of(n: int):
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+        return F.when(F.size("w") >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    runs = F.flatten(F.array(of(3), of(4)))
+    labels = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), (F.col("item_id") % 6 + 1).cast("int"))
     return words.select(F.explode(runs).alias("phrase"), labels.alias("label")).groupBy("phrase").agg(F.min("label").alias("label"))
 
 
-@register("dict_ner")
-def dict_ner(spark, sf_dir):
-    found = E.labelled(E.dictionary_match(table(spark, sf_dir, "documents"), _phrases(spark, sf_dir)))
-    return E.numbered(found, "e", ["doc_id"], ["pos"]).select("doc_id", "id", "pos", "phrase", "class", "confidence")
+def _sql_hits(docs: str, phrases: str, longest: int) -> str:
+    """CTEs: wd (words), w4 (words with those that follow) and hits (all mentions of phrases: phrase, label, run, len)."""
+    lead = ", ".join(f"lead(word, {k}) OVER o AS w{k}, lead(stop, {k}) OVER o AS e{k}" for k in range(1, longest))
+    run = lambda n: " || ' ' || ".join(["word", *[f"w{k}" for k in range(1, n)]])
+    hits = " UNION ALL ".join(f"SELECT doc_id, pos, len, phrase, label, start, {'stop' if n == 1 else f'e{n - 1}'} AS stop FROM w4 JOIN ph ON ph.len = {n} AND ph.run = {run(n)}" for n in range(1, longest + 1))
+    return f"""pc AS (SELECT doc_id, regexp_extract_all(text, '{_W}+|[^{_W[1:-1]}]+') AS p FROM {docs}),
+pu AS (SELECT doc_id, i, p[i + 1] AS piece FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM pc)),
+ps AS (SELECT doc_id, i, piece, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM pu),
+wd AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, piece AS word, start, start + length(piece) AS stop FROM ps WHERE regexp_matches(piece, '^{_W}')),
+w4 AS (SELECT *, {lead} FROM wd WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+ph AS ({phrases}),
+hits AS ({hits})"""
 
 
-_PH = """ph AS (SELECT DISTINCT unnest([w[1], array_to_string(w[1:2], ' ')]) AS phrase FROM (SELECT regexp_extract_all(text, '[\\w-]+') AS w FROM benchmark))"""
+_BENCH_PHRASES = f"""SELECT phrase, phrase AS run, min(label) AS label, len FROM (SELECT array_to_string(w[i + 1:i + n], ' ') AS phrase, label, n AS len
+FROM (SELECT w, label, n, unnest(range(0, len(w) - n + 1)) AS i FROM (SELECT regexp_extract_all(text, '{_W}+') AS w, ({list(_LABELS)})[item_id % 6 + 1] AS label FROM benchmark), (VALUES (3), (4)) v(n))) GROUP BY phrase, len"""
+#: Longest first, without overlaps: a fold over each document's hits in that order.
+_TAKEN = """o AS (SELECT doc_id, list([{'l': len, 'p': pos, 'phrase': phrase, 'label': label, 'b': start, 'e': stop}] ORDER BY len DESC, pos, phrase) AS h FROM hits GROUP BY doc_id),
+tk AS (SELECT doc_id, unnest(list_reduce(h, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.p < x[1].p + x[1].l AND x[1].p < y.p + y.l)) > 0 THEN a ELSE list_concat(a, x) END)) AS t FROM o),
+taken AS (SELECT doc_id, t.p AS pos, t.l AS len, t.phrase AS phrase, t.label AS label, t.b AS start, t.e AS stop FROM tk)"""
+_CLASS = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.LABELS.items()) + " END"
 
 
-def _first_two(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(r"[\w-]+"), F.lit(0)).alias("w"))
-    return words.select(F.explode(F.array(F.col("w")[0], F.array_join(F.slice("w", 1, 2), " "))).alias("phrase")).distinct().withColumn("label", F.lit("FIN_PRODUCT"))
+@register(
+    "dict_ner",
+    f"""WITH {_sql_hits('documents', _BENCH_PHRASES, 4)}, {_TAKEN}, c AS (SELECT *, {_CLASS} AS class FROM taken)
+    SELECT doc_id, 'e' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS id, pos, phrase, class, CAST(CASE WHEN starts_with(label, 'FIN_') THEN 0.85 ELSE 0.7 END AS DOUBLE) AS confidence, start, stop AS "end" FROM c WHERE class IS NOT NULL""",
+)
+def dict_ner(spark, sf_dir):
+    found = E.labelled(E.dictionary_match(table(spark, sf_dir, "documents"), _phrases(spark, sf_dir)))
+    return E.numbered(found, "e", ["doc_id"], ["pos"]).select("doc_id", "id", "pos", "phrase", "class", "confidence", "start", "end")
 
 
-_SPAN_HITS = f"""{_SPANS}, {_PH},
-e AS (SELECT d.doc_id, ph.phrase, CAST(instr(d.text, ph.phrase) - 1 AS BIGINT) AS start, CAST(instr(d.text, ph.phrase) - 1 + length(ph.phrase) AS BIGINT) AS stop FROM documents d CROSS JOIN ph WHERE instr(d.text, ph.phrase) > 0),
+#: The first mention of each phrase in each document.
+_SPAN_HITS = f"""{_SPANS}, {_sql_hits('documents', _BENCH_PHRASES, 4)},
+e AS (SELECT doc_id, phrase, min(start) AS start, arg_min(stop, start) AS stop FROM hits GROUP BY doc_id, phrase),
 m AS (SELECT e.doc_id, sent_ord, sentence, phrase, start, stop FROM spans s JOIN e USING (doc_id) WHERE sent_start <= start AND start < sent_start + length(sentence))"""
 
 
+def _first_hits(docs, spark, sf_dir):
+    hits = E.phrase_hits(docs, _phrases(spark, sf_dir))
+    return hits.groupBy("doc_id", "phrase").agg(F.min("start").alias("start"), F.min_by("end", "start").alias("end"))
+
+
 @register("entity_in_sentence", f"WITH {_SPAN_HITS} SELECT doc_id, sent_ord, phrase, start FROM m")
 def entity_in_sentence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = E.character_offsets(docs, _first_two(spark, sf_dir)).withColumn("start", F.col("start").cast("long"))
-    return E.by_span(R.sentence_spans(docs), found).select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), "phrase", "start")
+    found = E.by_span(R.sentence_spans(docs), _first_hits(docs, spark, sf_dir))
+    return found.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), "phrase", "start")
 
 
-@register("substring_in_sentence", f"WITH {_PH}, s AS (SELECT doc_id, unnest(range(0, len(ss))) AS sent_ord, ss FROM (SELECT doc_id, {SPLIT.format('text')} AS ss FROM documents)) SELECT doc_id, sent_ord, count(*) AS n FROM s JOIN ph ON contains(lower(ss[sent_ord + 1]), lower(phrase)) AND length(phrase) > 4 GROUP BY 1, 2")
+@register(
+    "substring_in_sentence",
+    f"""WITH {_sql_hits('documents', _BENCH_PHRASES, 4)}, e AS (SELECT DISTINCT doc_id, phrase FROM hits),
+    s AS (SELECT doc_id, sent_ord, lower(ss[sent_ord + 1]) AS sentence FROM (SELECT doc_id, unnest(range(0, len(ss))) AS sent_ord, ss FROM (SELECT doc_id, {SPLIT.format('text')} AS ss FROM documents)))
+    SELECT doc_id, sent_ord, phrase, contains(sentence, lower(phrase)) AS as_written FROM s JOIN e USING (doc_id)
+    WHERE contains(sentence, lower(phrase)) OR contains(array_to_string(regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}_]+'), ' '), array_to_string(regexp_extract_all(lower(phrase), '[\\p{{L}}\\p{{N}}_]+'), ' '))""",
+)
 def substring_in_sentence(spark, sf_dir):
+    """The phrases of a document in its sentences, by text or, as without a dictionary of lemmas, by their words without what stands between."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sents = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_ord", "sentence"))
-    ents = docs.select("doc_id").crossJoin(F.broadcast(_first_two(spark, sf_dir).filter("length(phrase) > 4").select(F.col("phrase").alias("text"))))
-    return E.in_sentence(sents, ents).groupBy("doc_id", F.col("sent_ord").cast("long").alias("sent_ord")).agg(F.count("*").alias("n"))
+    ents = E.phrase_hits(docs, _phrases(spark, sf_dir)).select("doc_id", F.col("phrase").alias("text")).distinct()
+    found = E.in_sentence(sents, ents, lemmas=True)
+    return found.select("doc_id", F.col("sent_ord").cast("long").alias("sent_ord"), F.col("text").alias("phrase"), F.contains(F.lower("sentence"), F.lower("text")).alias("as_written"))
 
 
 _PATTERNS = [("\\bof\\b", "hasAttribute"), ("\\bthe\\b|\\band\\b", "involves"), ("ing", "requires")]
@@ -282,7 +339,7 @@ _PATTERNS = [("\\bof\\b", "hasAttribute"), ("\\bthe\\b|\\band\\b", "involves"),
 )
 def between_pattern_relation(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = E.character_offsets(docs, _first_two(spark, sf_dir))
+    found = _first_hits(docs, spark, sf_dir)
     kind = F.when(F.length("phrase") % 3 == 0, "FinancialProduct").when(F.length("phrase") % 3 == 1, "Actor").otherwise("Process")
     ents = found.select("doc_id", F.col("phrase").alias("text"), kind.alias("class"), "start", "end").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "text")))
     ents = ents.withColumn("id", F.concat(F.lit("e"), F.col("ord").cast("string")))
@@ -367,15 +424,29 @@ def graph_stats(spark, sf_dir):
     return G.stats(_graph(spark, sf_dir))
 
 
-@register("graph_base")
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+_BASE = f"""WITH c(name, label, sub) AS (VALUES {_values([(n, lb, None) for n, lb in V.CLASSES.items()] + [(n, lb, 'FinancialProduct') for n, lb in V.SUBCLASSES.items()])}),
+pr(name, d, r, label) AS (VALUES {_values(V.PROPERTIES)}),
+n AS (SELECT 'fin:' || name AS s, 'owl:Class' AS kind, label FROM c UNION ALL SELECT 'fin:' || name, 'owl:ObjectProperty', label FROM pr
+      UNION ALL SELECT 'fin:FinancialProductsOntology', 'owl:Ontology', 'Онтология финансовых продуктов')
+SELECT s, 'rdf:type' AS p, kind AS o, 'uri' AS o_kind, CAST(NULL AS VARCHAR) AS lang FROM n UNION ALL SELECT s, 'rdfs:label', label, 'literal', 'ru' FROM n
+UNION ALL SELECT 'fin:' || name, 'rdfs:subClassOf', 'fin:' || sub, 'uri', NULL FROM c WHERE sub IS NOT NULL
+UNION ALL SELECT 'fin:' || name, 'rdfs:domain', 'fin:' || d, 'uri', NULL FROM pr WHERE d IS NOT NULL UNION ALL SELECT 'fin:' || name, 'rdfs:range', 'fin:' || r, 'uri', NULL FROM pr WHERE r IS NOT NULL"""
+
+
+@register("graph_base", _BASE)
 def graph_base(spark, sf_dir):
     return G.base(spark, agent=True)
 
 
-@register("set_diff", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS \"where\", coalesce(d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL AND CAST(d.n_chars % 2 AS INT) <> l.quality, false) AS mismatch FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id")
+@register("set_diff", "SELECT coalesce(d.doc_id, l.k) AS doc_id, CASE WHEN l.k IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS \"where\", coalesce(d.doc_id IS NOT NULL AND l.k IS NOT NULL AND d.v IS DISTINCT FROM l.v, false) AS mismatch FROM (SELECT doc_id, CASE WHEN lang <> 'de' THEN CAST(n_chars % 2 AS INT) END AS v FROM documents) d FULL JOIN (SELECT CASE WHEN toxic = 1 THEN -1 - doc_id ELSE doc_id END AS k, quality AS v FROM labels) l ON d.doc_id = l.k")
 def set_diff(spark, sf_dir):
-    left = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("v"), F.lit(0).alias("ord"))
-    right = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v"), F.lit(0).alias("ord"))
+    """All documents, some with a missing value, against all labels, toxic ones under other keys."""
+    left = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "de", (F.col("n_chars") % 2).cast("int")).alias("v"), F.lit(0).alias("ord"))
+    right = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.col("quality").alias("v"), F.lit(0).alias("ord"))
     return S.compared(left, right, ["doc_id"], "v").select("doc_id", "where", "mismatch")
 
 
@@ -395,8 +466,7 @@ _COUNTS = "k AS (SELECT d.lang, d.source, CAST(count(*) FILTER (quality = 1 AND
 
 def _label_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
-    y, p = F.col("quality") == 1, F.col("n_chars") % 2 == 1
-    return rows.groupBy("lang", "source").agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"))
+    return S.tallied(rows, ["lang", "source"], F.col("quality") == 1, F.col("n_chars") % 2 == 1)
 
 
 @register("prf_per_class", f"WITH {_COUNTS}, q AS (SELECT lang, source, tp, fp, fn, {_PRF} FROM k) SELECT *, {_F1} FROM q WHERE tp + fp + fn > 0")
@@ -476,7 +546,15 @@ def entity_dedup_greedy(spark, sf_dir):
     return E.greedy_dedup(rows)
 
 
-@register("annotation_sink")
+@register(
+    "annotation_sink",
+    f"""WITH {_PAIRS},
+    es AS (SELECT doc_id, list({{'id': id, 'text': text, 'class': class, 'start': CAST(NULL AS INT), 'confidence': CAST(0.8 AS DOUBLE)}} ORDER BY ord, text, class) AS e FROM e GROUP BY doc_id),
+    r AS (SELECT *, subject_ord * 10 + object_ord AS ord FROM dp),
+    rs AS (SELECT doc_id, list({{'id': 'r' || ord, 'subject': CAST(subject_ord AS VARCHAR), 'subject_text': subject_text, 'relation': string_split(allowed, ',')[1], 'object': CAST(object_ord AS VARCHAR), 'object_text': object_text, 'confidence': CAST(0.65 AS DOUBLE), 'evidence': ''}} ORDER BY ord, subject_text, string_split(allowed, ',')[1], object_text) AS r FROM r GROUP BY doc_id)
+    SELECT o_orderkey AS doc_id, CAST(to_json({{'id': CAST(o_orderkey AS VARCHAR), 'entities': e, 'relations': r, 'ontology_triples': CAST([] AS VARCHAR[])}}) AS VARCHAR) AS annotation
+    FROM orders LEFT JOIN es ON es.doc_id = o_orderkey LEFT JOIN rs ON rs.doc_id = o_orderkey""",
+)
 def annotation_sink(spark, sf_dir):
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
     ents = _lines(spark, sf_dir).withColumn("confidence", F.lit(0.8))
@@ -484,6 +562,89 @@ def annotation_sink(spark, sf_dir):
     return sinks.annotations(docs, ents, rels)
 
 
-@register("n_triples_sink", f"WITH {_GRAPH} SELECT DISTINCT s || ' ' || p || ' ' || CASE WHEN p = 'rdfs:label' THEN '\"' || o || '\"@ru' ELSE o END || ' .' AS value FROM g")
+_FULL = "CASE " + " ".join(f"WHEN starts_with({{0}}, '{k}:') THEN '<{v}' || substr({{0}}, {len(k) + 2}) || '>'" for k, v in sinks.PREFIXES.items()) + " END"
+
+
+@register("n_triples_sink", f"WITH {_GRAPH} SELECT DISTINCT {_FULL.format('s')} || ' ' || {_FULL.format('p')} || ' ' || CASE WHEN p = 'rdfs:label' THEN '\"' || o || '\"@ru' ELSE {_FULL.format('o')} END || ' .' AS value FROM g")
 def n_triples_sink(spark, sf_dir):
     return sinks.n_triples(_graph(spark, sf_dir))
+
+
+# The rule run, end to end, over documents made of the engine's phrases.
+
+_VERBS = ("предоставляет", "осуществляет надзор за", "включает", "подлежит", "и", "составляет", "требует", "является", "начисляется на", "выдаётся по", "обязан вернуть", "рядом с")
+_ALL_PHRASES = [p for ps in V.PHRASES.values() for p in ps]
+_TYPES = ("credit", "deposit", "investment", "insurance", "card", "regulatory")
+
+
+def rule_documents(spark, sf_dir):
+    """A document for each order, with a sentence for each of its lines: two phrases with words between them."""
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+    sentence = F.concat_ws(" ", F.lit("Здесь"), pick(_ALL_PHRASES, F.col("l_partkey")), pick(_VERBS, F.col("l_suppkey")), pick(_ALL_PHRASES, F.col("l_suppkey") * 7 + F.col("l_linenumber")))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", F.concat(sentence, F.lit(".")).alias("s")).alias("x"))
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), " ").alias("text"))
+    return docs.select("doc_id", pick(_TYPES, F.col("doc_id")).alias("type"), F.lit("").alias("product"), "text")
+
+
+_SPANS_OF_RULES = _SPANS.replace("FROM documents", "FROM rd")
+_BETWEEN = "CASE " + " ".join(f"WHEN regexp_matches(between_, '(?i){p}') THEN '{r}'" for p, r in V.BETWEEN) + " " + " ".join(f"WHEN ac = '{s}' AND bc = '{o}' THEN '{r}'" for s, o, r in V.PAIR_DEFAULT) + " END"
+_RULES = f"""rl AS (SELECT l_orderkey AS doc_id, l_linenumber, 'Здесь ' || ({_ALL_PHRASES})[l_partkey % {len(_ALL_PHRASES)} + 1] || ' ' || ({list(_VERBS)})[l_suppkey % {len(_VERBS)} + 1] || ' ' || ({_ALL_PHRASES})[(l_suppkey * 7 + l_linenumber) % {len(_ALL_PHRASES)} + 1] || '.' AS s FROM lineitem),
+rd AS (SELECT doc_id, string_agg(s, ' ' ORDER BY l_linenumber, s) AS text, ({list(_TYPES)})[doc_id % {len(_TYPES)} + 1] AS type FROM rl GROUP BY doc_id),
+{_SPANS_OF_RULES},
+{_sql_hits('rd', f"SELECT phrase, label, array_to_string(w, ' ') AS run, len(w) AS len FROM (SELECT phrase, label, regexp_extract_all(phrase, '{_W}+') AS w FROM (VALUES {_values([(p, lb) for lb, ps in V.PHRASES.items() for p in ps])}) v(phrase, label))", 4)}, {_TAKEN},
+en AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS o0, lower(phrase) AS text, {_CLASS} AS class, label, start, stop FROM taken),
+ef AS (SELECT doc_id, text, class, label, min(o0) AS o0, arg_min(start, o0) AS start, arg_min(stop, o0) AS stop FROM en GROUP BY doc_id, text, class, label),
+ee AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o0) AS ord FROM ef),
+mm AS (SELECT e.doc_id, sent_ord, sentence, e.ord, e.text, e.class, start, stop FROM spans s JOIN ee e USING (doc_id) WHERE sent_start <= start AND start < sent_start + length(sentence)),
+bb AS (SELECT a.doc_id, a.sent_ord, a.sentence, a.ord AS ao, b.ord AS bo, a.text AS at_, b.text AS bt, a.class AS ac, b.class AS bc, substr(rd.text, a.stop + 1, b.start - a.stop) AS between_
+       FROM mm a JOIN mm b ON a.doc_id = b.doc_id AND a.sent_ord = b.sent_ord AND a.ord < b.ord AND a.stop <= b.start JOIN rd ON rd.doc_id = a.doc_id),
+rr AS (SELECT *, {_BETWEEN} AS relation FROM bb),
+rn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_ord, ao, bo) AS n FROM rr WHERE relation IS NOT NULL),
+ru AS (SELECT doc_id, at_, relation, bt, min(n) AS n, arg_min(ao, n) AS ao, arg_min(bo, n) AS bo, arg_min(sentence, n) AS sentence FROM rn GROUP BY doc_id, at_, relation, bt),
+names AS (SELECT doc_id, text, max(ord) AS ord FROM ee GROUP BY doc_id, text)"""
+
+
+@register(
+    "rule_pipeline",
+    f"""WITH {_RULES} SELECT ru.doc_id, 'r' || n AS id, 'e' || s.ord AS subject_id, at_ AS subject_text, relation, 'e' || o.ord AS object_id, bt AS object_text, sentence AS evidence
+    FROM ru JOIN names s ON s.doc_id = ru.doc_id AND s.text = at_ JOIN names o ON o.doc_id = ru.doc_id AND o.text = bt""",
+)
+def rule_pipeline(spark, sf_dir):
+    """Relations of the rule run, with ids as the annotation file has them."""
+    found = P.rules(rule_documents(spark, sf_dir))
+    return R.resolved_again(found.relations, found.entities).select("doc_id", "id", "subject_id", "subject_text", "relation", "object_id", "object_text", "evidence")
+
+
+_LETTERS = "lower({0})"
+for _letter, _latin in V.LATIN_MANY.items():
+    _LETTERS = f"replace({_LETTERS}, '{_letter}', '{_latin}')"
+_LETTERS = f"translate({_LETTERS}, '{V.LATIN_ONE[0] + V.LATIN_NONE}', '{V.LATIN_ONE[1]}')"
+_RU_SLUG = "'fin:' || " + _SLUG.replace("lower({0})", _LETTERS)
+_PARENT = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.PARENTS.items()) + " ELSE 'FinancialProduct' END"
+
+
+@register(
+    "rule_graph",
+    f"""WITH {_RULES}, b AS ({_BASE.replace("UNION ALL SELECT 'fin:FinancialProductsOntology', 'owl:Ontology', 'Онтология финансовых продуктов'", '').replace(", ('subClassOf', 'FinancialProduct', 'FinancialProduct', 'подтип')", '')}),
+    nm AS (SELECT DISTINCT {_RU_SLUG.format('ee.text')} AS s, ee.text, class, type FROM ee JOIN rd USING (doc_id))
+    SELECT s, p, o FROM b UNION SELECT s, 'rdf:type', CASE WHEN class = 'FinancialProduct' THEN 'owl:Class' ELSE 'fin:' || class END FROM nm UNION SELECT s, 'rdfs:label', text FROM nm
+    UNION SELECT s, 'rdfs:subClassOf', 'fin:' || {_PARENT} FROM nm WHERE class = 'FinancialProduct' UNION SELECT {_RU_SLUG.format('at_')}, 'fin:' || relation, {_RU_SLUG.format('bt')} FROM ru""",
+)
+def rule_graph(spark, sf_dir):
+    return P.rules(rule_documents(spark, sf_dir)).graph.select("s", "p", "o").distinct()
+
+
+def _gold_of_rules(spark, sf_dir, found):
+    """Gold for the rule run: its own entities, of which some have another class, some a longer text, and some are missing; its relations, some in other words."""
+    kind = F.when(F.length("text") % 5 == 0, "Metric").otherwise(F.col("class"))
+    text = F.when(F.length("text") % 7 == 0, F.concat("text", F.lit("ы"))).otherwise(F.col("text"))
+    ents = found.entities.filter("length(text) % 11 > 0").select("doc_id", "ord", text.alias("text"), kind.alias("class"))
+    rels = found.relations.filter("length(subject_text) % 11 > 0").select("doc_id", "ord", F.col("subject_text"), "relation", F.concat("object_text", F.lit("а")).alias("object_text"))
+    return ents, rels
+
+
+@register("rule_pipeline_eval")
+def rule_pipeline_eval(spark, sf_dir):
+    """Ratings of the rule run over all documents, by level."""
+    found = P.rules(rule_documents(spark, sf_dir))
+    return P.evaluated(found.entities.select("doc_id", "ord", "text", "class"), found.relations.select("doc_id", "ord", "subject_text", "relation", "object_text"), *_gold_of_rules(spark, sf_dir, found))[1]

@@ -18,6 +18,26 @@ RELATION = "struct<id:string,subject:string,subject_text:string,relation:string,
 GOLD = f"struct<documents:array<struct<id:string,title:string,source:string,type:string,text:string,entities:array<{ENTITY}>,relations:array<{RELATION}>>>>"
 
 
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """value and path of text files; none if nothing is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        return spark.createDataFrame([], "value string, path string")
+    return spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("path"))
+
+
+def inline_corpus(spark: SparkSession, docs: list[dict]) -> DataFrame:
+    """Documents given in the program: id, type, product, source and text; what is missing is empty."""
+    fields = ("id", "type", "product", "source", "text")
+    return spark.createDataFrame([tuple(str(d.get(f, "")) for f in fields) for d in docs], ", ".join(f"{f} string" for f in fields))
+
+
+def with_default(df: DataFrame, table: DataFrame, on: str, value: str, default: str = "unknown") -> DataFrame:
+    """df with the value that a table (`on`, `value`) has for it, or the default. The table's keys are unique."""
+    return df.join(table.select(on, value), on, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
 def manifest(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries (line_no, url, name, doc_type) of lines (line_no, value), and the lines with too few fields.
     Blank lines and comments are skipped, fields after the third ignored."""
@@ -46,15 +66,15 @@ def parsed_body(raw: F.Column) -> F.Column:
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    """id (the file's name without extension), text and source of parsed text files."""
-    rows = spark.read.text(path, wholetext=True).withColumn("_f", F.input_file_name())
-    name = F.url_decode(F.regexp_extract("_f", r"([^/]+)$", 1))
+    """id (the file's name without extension), text and source of parsed text files; none if there are none."""
+    rows = whole_files(spark, path)
+    name = F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))
     return rows.select(F.regexp_replace(name, r"\.txt$", "").alias("id"), parsed_body(F.col("value")).alias("text"), name.alias("source"))
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold documents in order."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", GOLD).alias("g"))
+    """Gold documents in order; none if the file isn't there."""
+    whole = whole_files(spark, path).select(F.from_json("value", GOLD).alias("g"))
     return whole.select(F.posexplode("g.documents").alias("doc_ord", "d")).select("doc_ord", "d.*")
 
 
@@ -70,15 +90,15 @@ def filled_gold(gold: DataFrame, types: DataFrame, parsed: DataFrame) -> DataFra
 def corpus(gold: DataFrame, parsed: DataFrame, types: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """Gold documents, then parsed ones that are not among them and have text, by name. doc_ord is (0 or 1, order or name) as one text."""
     g = gold.select("id", "type", F.col("title").alias("product"), "source", "text", F.format_string("0:%09d", "doc_ord").alias("doc_ord"))
-    p = parsed.join(gold.select("id"), "id", "left_anti").filter("text <> ''").join(types.select(F.col("name").alias("id"), "type"), "id", "left")
-    p = p.select("id", F.coalesce("type", F.lit("unknown")).alias("type"), F.replace("id", F.lit("_"), F.lit(" ")).alias("product"), "source", "text", F.concat(F.lit("1:"), "source").alias("doc_ord"))
+    p = with_default(parsed.join(gold.select("id"), "id", "left_anti").filter("text <> ''"), types.select(F.col("name").alias("id"), "type"), "id", "type")
+    p = p.select("id", "type", F.replace("id", F.lit("_"), F.lit(" ")).alias("product"), "source", "text", F.concat(F.lit("1:"), "source").alias("doc_ord"))
     out = g.unionByName(p)
     return out.filter(F.col("id").isin(ids)) if ids else out
 
 
 def pages(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """df with kind (see url_kind), text and status of fetched pages."""
-    return df.withColumn("kind", T.url_kind(F.col(url))).withColumn("page_text", T.html_text(F.col(html))).withColumn("status", T.route(F.col("page_text")))
+    return df.withColumn("kind", T.url_kind(F.col(url))).withColumn("page_text", T.page_text(F.col(html))).withColumn("status", T.route(F.col("page_text")))
 
 
 def decoded(raw: F.Column, declared: F.Column, detect: Callable[[bytes], str] | None = None) -> F.Column:
@@ -116,5 +136,19 @@ def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """id and annotation text of {id}_annotation.json files; none if there are none."""
-    rows = spark.read.text(path, wholetext=True).withColumn("_f", F.input_file_name())
-    return rows.select(F.regexp_extract("_f", r"([^/]+)_annotation\.json$", 1).alias("id"), "value").filter("id <> ''").orderBy("id")
+    rows = whole_files(spark, path)
+    return rows.select(F.url_decode(F.regexp_extract("path", r"([^/]+)_annotation\.json$", 1)).alias("id"), "value").filter("id <> ''").orderBy("id")
+
+
+REVIEW = """struct<doc_id:string,reviewer:string,entities_review:array<struct<ord:int,text:string,class:string,correct:boolean,correct_class:string,comment:string>>,
+missing_entities:array<string>,relations_review:array<struct<ord:int,subject_text:string,relation:string,object_text:string,correct:boolean,comment:string>>,overall_score:int,notes:string>"""
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Reviews, a line of JSON each, of those of the same document the last by file and line; none if there are none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], "doc_id string, review string").select("doc_id", F.from_json("review", REVIEW).alias("r")).select("r.*")
+    lines = spark.read.text(path).select("value", F.struct(F.input_file_name().alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_at"))
+    rows = lines.select(F.from_json("value", REVIEW).alias("r"), "_at").filter("r.doc_id IS NOT NULL").withColumn("_id", F.col("r.doc_id"))
+    return last_per(rows, ["_id"], "_at").select("r.*")

@@ -1,6 +1,8 @@
 """Sources, sinks and the stream of files."""
 
 import json
+import re
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -52,13 +54,33 @@ def test_texts_are_routed(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["status=ok", "status=short"]
 
 
+LINE = re.compile(r'<([^<>"{}|^`\\\x00-\x20]+)> <([^<>"{}|^`\\\x00-\x20]+)> (?:<([^<>"{}|^`\\\x00-\x20]+)>|"((?:[^"\\\n\r]|\\.)*)"(?:@([a-z]+))?) \.')
+
+
+def parsed(line):
+    s, p, o, text, lang = LINE.fullmatch(line).groups()
+    return s, p, o if text is None else re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r", "t": "\t"}.get(m[1], m[1]), text), lang
+
+
 def test_graph_files(spark):
-    graph = spark.createDataFrame([("fin:A", "rdfs:label", 'q"\\\n', "literal", "ru"), ("fin:A", "rdf:type", "owl:Class", "uri", None)], G.SCHEMA)
-    assert sorted(r.value for r in sinks.n_triples(graph).collect()) == ["fin:A rdf:type owl:Class .", 'fin:A rdfs:label "q\\"\\\\\\n"@ru .']
-    assert sinks.turtle(graph).first().value.startswith("fin:A rdf:type owl:Class ;\n")
-    assert '<rdf:type rdf:resource="http://www.w3.org/2002/07/owl#Class"/>' in sinks.rdf_xml(graph).first().value
-    ld = json.loads(sinks.json_ld(graph).first().value)
-    assert ld["@id"] == "fin:A" and ld["rdf:type"] == [{"@id": "owl:Class"}] and ld["rdfs:label"][0]["@language"] == "ru"
+    label = 'q"\\\n\t\r<&>\\n'
+    graph = spark.createDataFrame([("fin:A", "rdfs:label", label, "literal", "ru"), ("fin:A", "rdf:type", "owl:Class", "uri", None), ("fin:" + "B" * 2000, "fin:confidence", "0.9", "literal", None)], G.SCHEMA)
+    fin = "http://example.org/finance#"
+    assert {parsed(r.value) for r in sinks.n_triples(graph).collect()} == {
+        (fin + "A", "http://www.w3.org/2000/01/rdf-schema#label", label, "ru"),
+        (fin + "A", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2002/07/owl#Class", None),
+        (fin + "B" * 2000, fin + "confidence", "0.9", None),
+    }
+    assert any(r.value.startswith("fin:A rdf:type owl:Class ;\n") for r in sinks.turtle(graph).collect())
+    spaces = " ".join(f'xmlns:{k}="{v}"' for k, v in sinks.PREFIXES.items())
+    root = ElementTree.fromstring(f"<rdf:RDF {spaces}>" + "".join(r.value for r in sinks.rdf_xml(graph).collect()) + "</rdf:RDF>")
+    rdf = sinks.PREFIXES["rdf"]
+    found = {d.get(f"{{{rdf}}}about"): d for d in root}
+    assert set(found) == {fin + "A", fin + "B" * 2000}
+    assert found[fin + "A"].find(f"{{{rdf}}}type").get(f"{{{rdf}}}resource") == "http://www.w3.org/2002/07/owl#Class"
+    odd = spark.createDataFrame([('fin:"A', "rdf:type", "owl:Class", "uri", None), ('fin:"A', 'fin:"p', label, "literal", "ru")], G.SCHEMA)
+    ld = json.loads(sinks.json_ld(odd).first().value)
+    assert ld["@id"] == 'fin:"A' and ld["rdf:type"] == [{"@id": "owl:Class"}] and ld['fin:"p'] == [{"@value": label, "@language": "ru"}]
 
 
 def test_annotations_and_reviews(spark, tmp_path):
@@ -77,6 +99,42 @@ def test_annotations_and_reviews(spark, tmp_path):
     assert out == {"d": {"partial": {"tp": 1, "fp": 2}}, "overall": {"partial": {"tp": 1, "fp": 2}}}
 
 
+def test_records_take_one_folder(spark, tmp_path):
+    records = spark.createDataFrame([(str(i), "ok", json.dumps({"id": str(i)})) for i in range(50)], "id string, status string, annotation string").coalesce(2)
+    sinks.write_annotated(records, str(tmp_path / "a"), "m")
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["annotations", "summary"]
+    meta = json.loads(spark.read.text(str(tmp_path / "a" / "summary")).first().value)["meta"]
+    assert (meta["model"], meta["total"], meta["ok"], meta["errors"]) == ("m", 50, 50, 0)
+    assert len([p for p in (tmp_path / "a" / "annotations").iterdir() if p.name.startswith("part")]) == 2
+
+
+def test_nothing_there(spark, tmp_path):
+    """Sources without files are empty."""
+    assert readers.read_parsed(spark, str(tmp_path / "no")).count() == 0
+    assert readers.read_gold(spark, str(tmp_path / "gold.json")).count() == 0
+    assert readers.read_annotations(spark, str(tmp_path / "*_annotation.json")).count() == 0
+    assert readers.read_reviews(spark, str(tmp_path / "reviews")).count() == 0
+
+
+def test_reviews_last_wins(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text('{"doc_id": "1", "notes": "old"}\n{"doc_id": "1", "notes": "new"}\n{"doc_id": "2", "overall_score": 3}\n')
+    assert {r.doc_id: (r.notes, r.overall_score) for r in readers.read_reviews(spark, str(tmp_path / "r")).collect()} == {"1": ("new", None), "2": (None, 3)}
+    reviews = spark.createDataFrame([("x",)], "review string")
+    sinks.write_reviews(reviews, str(tmp_path / "r"))
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["a.json"]
+
+
+def test_inline_corpus(spark):
+    got = readers.inline_corpus(spark, [{"id": "a", "text": "t"}]).first()
+    assert (got.id, got.type, got.text) == ("a", "", "t")
+
+
+def test_short_list(spark):
+    rows = spark.createDataFrame([("u", "out/a.txt", "t", "x\ny"), ("v", "out/b.txt", "t", "")], "source string, path string, type string, text string")
+    assert [r.value.split("  |  ")[:2] for r in sinks.short_list(rows, 5).collect()] == [["a.txt", "2 строк"]]
+
+
 def test_annotation_files(spark, tmp_path):
     (tmp_path / "d1_annotation.json").write_text('{"a": 1}')
     assert [(r.id, r.value) for r in readers.read_annotations(spark, str(tmp_path / "*_annotation.json")).collect()] == [("d1", '{"a": 1}')]
