@@ -1,12 +1,9 @@
-"""What the operators share: tables, scratch space on shared storage, and word shingles."""
+"""What the operators share: tables, names, row-wise functions and word shingles."""
 
 from __future__ import annotations
 
 import re
 import sys
-import tempfile
-import threading
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexweave.scratch import materialize, release, written_so_far  # noqa: F401  for the operators
+
 #: Words are runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 WORDS_IN_SHINGLE = 5
@@ -32,58 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset and Spark runs in this process alone, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lexweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class _Written(threading.local):
-    """Folders that this thread's calls of materialize() wrote and that are not yet removed, in order."""
-
-    def __init__(self):
-        self.paths: list[str] = []
-
-
-_WRITTEN = _Written()
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back. This cuts the lineage, so that a lost
-    executor costs no recomputation and every reader sees the same rows. The folder is removed by release(), and else when the driver ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lexweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, at = _file_system(spark, path)
-    files.deleteOnExit(at)
-    _WRITTEN.paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written_so_far() -> int:
-    return len(_WRITTEN.paths)
-
-
-def release(spark: SparkSession, since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
-    """Remove the folders written since then, but for those that the tables to keep are read from."""
-    kept = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
-    for path in _WRITTEN.paths[since:]:
-        if path.rsplit("/", 1)[-1] not in kept:
-            files, at = _file_system(spark, path)
-            files.delete(at, True)
-            _WRITTEN.paths.remove(path)
-
-
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

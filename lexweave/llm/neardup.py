@@ -132,7 +132,7 @@ def first_meetings(own: np.ndarray, depths: np.ndarray, tree: int, depth: int, r
     whose labels and depths these are. Two sets meet in a tree if their labels share a prefix of the shorter one's depth."""
     x = own.view(np.uint64)
     out = np.empty((len(rows), len(cols)), bool)
-    step = max(1, 2_000_000 // max(1, len(cols) * max(1, tree)))
+    step = max(1, 500_000 // max(1, len(cols) * max(1, tree)))
     for lo in range(0, len(rows), step):
         r = rows[lo : lo + step]
         here = np.minimum(depths[r, tree][:, None], depths[cols, tree][None, :]) == depth
@@ -183,14 +183,15 @@ def nodes(reps: DataFrame, trees: int, similarity: float, recall: float) -> tupl
         found = below.groupBy("tree", prefix[i].alias("p")).agg(F.sum("m").alias(f"m{i}"))
         sized = sized.withColumn("p", prefix[i]).join(found, ["tree", "p"]).drop("p")
     names = [f"m{i}" for i in range(len(prefix))]
-    each = sized.groupBy("digest").agg(F.collect_list(F.struct("tree", *names)).alias("at"))
+    # A flat array of (tree, sizes) for each set, with as many entries as there are trees at most.
+    each = sized.groupBy("digest").agg(F.flatten(F.collect_list(F.array(F.col("tree").cast("long"), *names))).alias("at"))
 
     @F.pandas_udf("binary")
     def chosen(at: pd.Series) -> pd.Series:
         sizes = np.ones((len(at), trees, len(names)))
         for k, found in enumerate(at):
-            for t in found:
-                sizes[k, t["tree"]] = [t[m] for m in names]
+            found = np.asarray(found, np.int64).reshape(-1, 1 + len(names))
+            sizes[k, found[:, 0]] = found[:, 1:]
         return pd.Series([d.tobytes() for d in shortened(sizes, similarity, recall)])
 
     depths = materialize(each.select("digest", chosen("at").alias("depths")))
