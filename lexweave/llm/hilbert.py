@@ -5,25 +5,24 @@ of that many dimensions, rows are sorted by the index, and the run is cut into s
 row counts. Rows near each other in all the columns fall into the same shard, so that the minimum
 and maximum of any of the columns prunes shards.
 
-Text columns are quantised by the order of their first seven bytes, numbers by their value; the
-cuts between the cells are quantiles, so that a value that a third of the rows share fills one
-cell of its own. Such a cell is cut like any other: rows within it follow the order of `key`.
+Columns are quantised by rank: the cuts between the cells are exact quantiles of their values, whole texts, fractions and dates
+alike, so that a value that a third of the rows share fills one cell of its own. Such a cell is cut like any other: rows
+within it follow the order of `key`.
 
 Defined results: nulls sort first in every dimension; a null text has size 8 and the checksum of
-the empty text; rows alike in all columns are interchangeable; an empty table gives no rows. Other
+the empty text; very long texts are counted whole; rows alike in all columns are interchangeable; an empty table gives no rows. Other
 columns are not touched by assign() and pass through write_shards(); it replaces columns
-of the input that are named like its own.
+of the input named shard or slot.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexweave.llm.common import materialize
+from lexweave.llm.common import fresh_name, materialize
 
 SHARDS = 24
 #: Bits of each dimension.
@@ -56,17 +55,34 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the same order as the column: a text by its first seven bytes."""
-    c = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, T.StringType):
-        first = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0")
-        return F.conv(first, 16, 10).cast("long")
-    return c.cast("double").cast("long") if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c.cast("long")
+def cuts(df: DataFrame, name: str, cells: int) -> list:
+    """The values that end a cell, in order, so that cells hold about equal numbers of the rows whose `name` isn't null; exact, for any type that can be sorted.
+
+    The different values are counted and sorted across partitions. The driver sees a number for each partition, and the cuts."""
+    spark = df.sparkSession
+    counted = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ordered = materialize(counted.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id()))
+    sums = sorted(ordered.groupBy("p").agg(F.sum("n")).collect())
+    total, starts = 0, []
+    for p, n in sums:
+        starts.append((p, total))
+        total += n
+    before = ordered.join(F.broadcast(spark.createDataFrame(starts, "p int, start long")), "p")
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ends = before.select("v", "n", upto.alias("upto")).filter(f"upto * {cells} div {max(total, 1)} > (upto - n) * {cells} div {max(total, 1)} AND upto < {total}")
+    return [r.v for r in ends.orderBy("v").select("v").collect()]
+
+
+def cell(name: str, found: list, cells: int) -> Column:
+    """The cell of a value, spread over the whole range if there are fewer cuts, so that each column counts alike; null is in the first."""
+    if not found:
+        return F.lit(0)
+    below = F.size(F.filter(F.array(*[F.lit(c) for c in found]), lambda c: c < F.col(name)))
+    return F.coalesce(F.floor(F.when(F.col(name).isNotNull(), below) * cells / (len(found) + 1)).cast("int"), F.lit(0))
 
 
-def assign(df: DataFrame, key: str, dimensions: list[str], text: str = "text", shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """A row for each row of df: key, size, text_crc32, the dimensions as numbers (dim_0, ...), hilbert, shard, slot.
+def assign(df: DataFrame, key: str, dimensions: list[str], text: str = "text", shards: int = SHARDS, bits: int = BITS, carry: str | None = None) -> DataFrame:
+    """A row for each row of df: key, size, text_crc32, the dimensions' values (dim_0, ...), hilbert, shard, slot; and the column `carry`, if given, as `carried`.
 
     The texts are read once and only their size and checksum travel on. What is sorted, across
     partitions by range, is this narrow table; the position of a row is that of its partition's
@@ -74,25 +90,22 @@ def assign(df: DataFrame, key: str, dimensions: list[str], text: str = "text", s
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     names = [f"dim_{i}" for i in range(len(dimensions))]
+    more = [] if carry is None else [F.col(f"`{carry}`").alias("carried")]
     narrow = df.select(
         F.col(f"`{key}`").alias("key"),
         (F.octet_length(t) + F.lit(8)).cast("long").alias("size"),
         F.crc32(F.encode(t, "utf-8")).alias("text_crc32"),
-        *[as_number(df, d).alias(n) for d, n in zip(dimensions, names)],
+        *[F.col(f"`{d}`").alias(n) for d, n in zip(dimensions, names)],
+        *more,
     )
     narrow = materialize(narrow)
-    inner = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = narrow.agg(*[F.percentile_approx(n, inner, 1000).alias(n) for n in names]).first()
-    cuts = [sorted(set(cuts[n] or [])) for n in names]
+    found = [cuts(narrow, n, 1 << bits) for n in names]
 
     @F.pandas_udf("long")
-    def index(*dims: pd.Series) -> pd.Series:
-        # A column with few values has few cells; they are spread over the whole range, so that each column counts alike.
-        cells = [np.searchsorted(np.array(c, np.int64), d.to_numpy(np.int64), side="left") * (1 << bits) // (len(c) + 1) for c, d in zip(cuts, dims)]
-        return pd.Series(hilbert_index(np.stack(cells), bits))
+    def index(*cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack([c.to_numpy(np.int64) for c in cells]), bits))
 
-    low = F.lit(-(2**62))
-    placed = narrow.withColumn("hilbert", index(*[F.coalesce(n, low) for n in names]))
+    placed = narrow.withColumn("hilbert", index(*[cell(n, c, 1 << bits) for n, c in zip(names, found)]))
     order = ["hilbert", "key", "text_crc32", "size"]
     sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     # An id is the number of its partition and the place in it. The table is written, since a second
@@ -109,17 +122,19 @@ def assign(df: DataFrame, key: str, dimensions: list[str], text: str = "text", s
     out = sorted_.withColumn("p", part.cast("int")).join(F.broadcast(offsets), "p").withColumn("at", at)
     shard = F.expr(f"at * {shards}L div {max(total, 1)}L")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    return out.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("at") - first).cast("long")).select("key", "size", "text_crc32", *names, "hilbert", "shard", "slot")
+    out = out.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("at") - first).cast("long"))
+    return out.select("key", "size", "text_crc32", *names, "hilbert", "shard", "slot", *(["carried"] if carry else []))
 
 
 def write_shards(df: DataFrame, key: str, dimensions: list[str], path: str, text: str = "text", shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Write df as Parquet files of one folder a shard, each sorted by slot, and return the shards' index:
-    rows, bytes, and least and greatest value of each dimension. `key` must tell rows apart."""
-    placed = assign(df, key, dimensions, text, shards, bits)
-    own = {"shard", "slot", "_key"}
-    rows = df.select(*[f"`{c}`" for c in df.columns if c not in own], F.col(f"`{key}`").alias("_key"))
-    rows = rows.join(placed.select(F.col("key").alias("_key"), "shard", "slot"), "_key")
-    rows.drop("_key").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows, bytes, and least and greatest value of each dimension. Rows without a key, and rows alike in key, are rows of their own."""
+    row = fresh_name(df, "row")
+    numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()))
+    placed = materialize(assign(numbered, key, dimensions, text, shards, bits, carry=row))
+    own = [c for c in numbered.columns if c not in ("shard", "slot")]
+    rows = numbered.select(*[f"`{c}`" for c in own]).join(placed.select(F.col("carried").alias(row), "shard", "slot"), row)
+    rows.drop(row).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     names = [c for c in placed.columns if c.startswith("dim_")]
     stats = [f(n).alias(f"{f.__name__}_{d}") for n, d in zip(names, dimensions) for f in (F.min, F.max)]
     return placed.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"), *stats)

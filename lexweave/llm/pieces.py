@@ -16,7 +16,8 @@ no merge can, and the text is cut there. The cuts are words mostly, and each dis
 once by a worker while the memory for it lasts.
 
 Defined results: a null text is encoded like the empty one; lone characters outside the vocabulary
-become bytes or the unknown id. Repeated rows, extra columns and very long texts need no care.
+become bytes or the unknown id. Very long texts are encoded whole, repeated rows alike; extra columns are not read, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations

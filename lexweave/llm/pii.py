@@ -11,8 +11,9 @@ What the driver sees is one count for each (kind, votes, shape), a few thousand
 definition, however large the corpus is.
 
 Defined results: a null text is as the empty one and has no spans. Offsets are code points, ends
-exclusive. Repeated rows are treated alike; extra columns pass through redact(), which replaces
-`text` and, if there, `n_chars`. Without any candidate in the table nothing is added.
+exclusive. Very long texts are searched whole. Ties: of proposals that start at the same place the longest counts, then the first kind. Repeated rows
+are treated alike; extra columns, whatever their names, pass through redact(), which replaces
+`text` and, if there, `n_chars`. Without any candidate in the table nothing is added; an empty table gives no rows.
 """
 
 from __future__ import annotations

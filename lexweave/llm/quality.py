@@ -5,7 +5,7 @@ taken out, and a document that would lose too much of its text is rejected. Besi
 base counts of a document (words, symbols, repeated lines and windows).
 
 Defined results: a null or empty text has no words, fails the base rules and has a null or empty
-cleaned text. Repeated rows and ties are judged row by row. Other columns pass through; a column
+cleaned text. Very long texts are judged whole. Repeated rows and ties are judged row by row. An empty table gives no rows. Other columns pass through; a column
 of the input named like one of the results is replaced.
 """
 
@@ -19,8 +19,8 @@ RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 MAX_MARKS = 0.1
 #: A line with at least as many separators is navigation or a table.
 MIN_BARS = 3
-#: Boilerplate phrases count in lines of at most so many characters.
-MAX_BOILERPLATE = 200
+#: A line fails if boilerplate phrases make up at least this part of it.
+MIN_BOILERPLATE = 0.1
 BOILERPLATE = "(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign up|log in|subscribe now|enable javascript|back to top|share this)"
 #: A document is rejected if more than this part of its characters stands in failing lines.
 MAX_LOST = 0.5
@@ -43,7 +43,7 @@ def line_first(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST,
         return f"transform(array({value}), {name} -> {body})[0]"
 
     # x: a line, whether it has a word, its symbols and its exclamation marks
-    fails = f"(x.s + x.b > {max_marks} * length(x.l) OR length(x.l) - length(replace(x.l, '|', '')) >= {MIN_BARS} OR (length(x.l) <= {MAX_BOILERPLATE} AND rlike(x.l, '{BOILERPLATE}')))"
+    fails = f"(x.s + x.b > {max_marks} * length(x.l) OR length(x.l) - length(replace(x.l, '|', '')) >= {MIN_BARS} OR (rlike(x.l, '{BOILERPLATE}') AND length(x.l) - length(regexp_replace(x.l, '{BOILERPLATE}', '')) >= {MIN_BOILERPLATE} * length(x.l)))"
     seen = f"transform(split({t}, '\n'), l -> named_struct('l', l, 'w', rlike(l, '[^\\\\x20\\\\x09-\\\\x0D]'), 's', regexp_count(l, '[#*$%&|<>]'), 'b', length(l) - length(replace(l, '!', ''))))"
     # y: a line, whether it has a word, its symbols, and whether it fails
     judged = f"transform({seen}, x -> named_struct('l', x.l, 'w', x.w, 's', x.s, 'f', x.w AND {fails}))"
@@ -81,7 +81,7 @@ ln AS (SELECT rid, l, length(l) AS c, length(l) - length(translate(l, '#*$%&|<>!
               length(l) - length(replace(l, '|', '')) AS bars, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS nw
        FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d)),
 lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup, sum(c) AS all_chars,
-                 sum(CASE WHEN marks > {MAX_MARKS} * c OR bars >= {MIN_BARS} OR (c <= {MAX_BOILERPLATE} AND regexp_matches(l, '{BOILERPLATE}')) THEN c ELSE 0 END) AS lost
+                 sum(CASE WHEN marks > {MAX_MARKS} * c OR bars >= {MIN_BARS} OR (c - length(regexp_replace(l, '{BOILERPLATE}', '', 'g')) >= {MIN_BOILERPLATE} * c) THEN c ELSE 0 END) AS lost
           FROM ln WHERE nw > 0 GROUP BY rid),
 base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
                 CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

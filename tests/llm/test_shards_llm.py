@@ -40,6 +40,28 @@ def test_files_and_their_index(spark, tmp_path):
     assert sum(r.min_source == r.max_source for r in index.collect()) >= 4
 
 
+def test_cells_are_quantiles_of_any_type(spark):
+    """Fractions, dates, and texts alike in their first letters get cells of equal size; a value with a third of the rows one of its own."""
+    docs = spark.range(3000).selectExpr("id doc_id", "'t' text", "id % 1000 / 3000.0D frac", "date_add(date'2020-01-01', int(id % 1000)) day", "concat('https://www.', lpad(id % 1000, 5, '0')) url", "IF(id < 1000, 7, id) hot", "timestamp_seconds(id) at")
+    for name in ("frac", "day", "url", "at"):
+        found = H.cuts(docs, name, 16)
+        n = docs.select(H.cell(name, found, 16).alias("c")).groupBy("c").count().collect()
+        assert len(found) == 15 and len(n) == 16 and max(r[1] for r in n) - min(r[1] for r in n) <= 3, name
+    found = H.cuts(docs, "hot", 16)
+    n = {r.c: r["count"] for r in docs.select(H.cell("hot", found, 16).alias("c")).groupBy("c").count().collect()}
+    assert n[0] == 1000 and len(n) == len(found) + 1
+    rows = H.assign(docs, "doc_id", ["frac", "day", "url", "at"]).collect()
+    assert len(rows) == 3000
+
+
+def test_shards_keep_every_row(spark, tmp_path):
+    """Rows without a key and rows alike in key are written once each, with the input's own columns."""
+    docs = spark.createDataFrame([(None, "a", 1), (None, "a", 2), (5, "b", 3), (5, "b", 3), (6, None, 4)], "doc_id long, text string, _row int")
+    H.write_shards(docs, "doc_id", ["doc_id"], str(tmp_path / "s"), shards=2)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(str((r.doc_id, r.text, r._row)) for r in got.collect()) == sorted(str((r.doc_id, r.text, r._row)) for r in docs.collect())
+
+
 def test_empty_and_few(none, spark):
     assert H.assign(none, "doc_id", ["key", "digest"]).count() == 0
     few = spark.createDataFrame([(1, None, "a"), (2, "x", None)], "doc_id long, text string, source string")
