@@ -18,15 +18,19 @@ def canonical(v):
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, name):
-    df = registry.queries()[name](spark, SMALL)
-    rows = df.collect()
+    """On the smallest tables, or the next size where these give no rows: none may be empty there."""
+    for sf_dir in (SMALL, SMALL.replace("0.001", "0.01")):
+        df = registry.queries()[name](spark, sf_dir)
+        rows = df.collect()
+        if rows:
+            break
+    assert rows
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert rows
         return
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     found = con.sql(sql)
     columns = sorted(found.columns)
     assert columns == sorted(df.columns)
