@@ -28,7 +28,11 @@ cheap-meds.com/pills pills-online.net/viagra discount-pharmacy.biz/pills buy-che
 adult-chat.com/cams xxx-adult.net/video adult-dating.org/sex hot-adult-x.biz/free porn-tube.info/xxx adultvideo.net/en/31 x-adult.org/de/clips
 ads-server.com/track track-ads.net/click adclick-track.org/banner popup-ads.biz/track clicktrack.info/ads adtrack.net/en/pixel ads.tracker.com/fr/banner
 spam-links.com/farm link-farm.net/seo spam-blog.org/post linkfarm-spam.biz/links content-farm.info/spam spamfarm.net/en/seo farm-of-spam.com/de/links
-payday-loans.com/fast quick-loan.net/apply crypto-giveaway.org/win lottery-win.biz/prize replica-watches.info/cheap warez-crack.net/download torrent-crack.org/keygen""".split()
+payday-loans.com/fast quick-loan.net/apply crypto-giveaway.org/win lottery-win.biz/prize replica-watches.info/cheap warez-crack.net/download torrent-crack.org/keygen
+m.casino-club.net/en/33 www.casino-winner.org/de/812.html blog.grand-casino.com/es/5/ casino.winbig.net/fr/4410 m.bets-online.org/en/77 www.free-odds-bets.com/es/301 free-betting.net/de/19
+m.pills-direct.com/en/640 www.cheap-viagra-pills.net/fr/88.html blog.diet-pills.org/es/2 m.adult-zone.com/en/120 www.adult-live.net/de/9/ blog.adult-movies.org/en/5512 adult-toons.com/fr/17
+m.ads-network.net/en/505 www.ads-click.com/de/1200 ads-banner.org/es/41.html blog.click-track.net/en/9 ad-tracking.com/fr/73/ m.spam-site.org/en/28 www.spam-mailer.com/de/3060
+blog.spam-zone.net/es/6.html spam-seo.com/fr/990 m.link-farm-pro.com/en/14 farm-clicks.net/de/7 www.payday-cash.net/en/2 m.lottery-winners.com/es/37 replica-bags.org/fr/81.html""".split()
 WANTED = """news.city-herald.com/world/article university.edu/research/paper library.org/catalog/books museum.net/exhibits/painting
 weather-service.gov/forecast/today docs.python.org/library/index wiki.encyclopedia.org/history/rome recipes-kitchen.com/soup/onion
 travel-guide.net/italy/rome gardening.org/roses/care school-district.edu/calendar science-journal.com/biology/cells
@@ -39,7 +43,11 @@ x.com/home t.co/news a.org/en b.net/about ab.de/wissen x.net/fr/1 m.site.org/en/
 bbc.co.uk/news/world-123 lemonde.fr/politique/article elpais.com/es/cultura spiegel.de/de/wirtschaft arxiv.org/abs/1706 github.com/apache/spark
 stackoverflow.com/questions/11227809 nature.com/articles/en/41586 who.int/fr/news europa.eu/de/index.html canada.ca/fr/services gov.uk/guidance
 blog.orchestra.org/en/2041 www.thornton.net/en/5 m.heather.com/es/31 shore.anderson.org/fr/10 reading.hanover.net/de/77.html ministry.gov/es/90 www.hampton.com/en/6021/ brenthon.org/fr/14
-the-weekly-reader.com/en/33 estate-agents.net/es/208 interest.org/de/41 reston.net/en/981/ andover.edu/fr/library thistle.org/en/3390.html ontario.ca/fr/6 attire.com/de/551""".split()
+the-weekly-reader.com/en/33 estate-agents.net/es/208 interest.org/de/41 reston.net/en/981/ andover.edu/fr/library thistle.org/en/3390.html ontario.ca/fr/6 attire.com/de/551
+www.orchard.net/en/266 m.lighthouse.net/en/77 blog.mountain.com/en/5018 www.harbour.net/en/2518/ blog.winter-garden.net/fr/31 m.townhall.org/de/604.html www.village-news.com/en/8 blog.teachers.net/es/19/
+m.theatre.com/fr/2250 www.meadow.org/es/73.html blog.rivers.net/de/9001 m.stations.net/en/410/ www.bakery.com/fr/55 blog.kitchen.org/en/1830.html m.forest.com/en/3 www.children.net/de/162
+blog.hiking.com/en/7714/ m.cycling.net/es/28.html www.painting.org/en/640 blog.museum-friends.net/en/91 m.weather.org/fr/4407 www.thermal-baths.com/de/85/ blog.tourism.net/en/206.html m.history.net/en/5250
+www.national-trust.net/en/88.html blog.nations.com/de/37 m.thought.org/en/912 www.other-shore.net/es/6600 blog.stone-houses.org/en/14/ m.winery.net/fr/120.html www.winding-roads.com/en/3300 m.adults-learning.org/en/7""".split()
 
 
 def labelled() -> pd.DataFrame:
