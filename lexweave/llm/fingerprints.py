@@ -164,7 +164,8 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
 
 
 def with_next(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """_key, _text and _next, the text of the document that follows by descending key.
+    """_key, _text and _next, the text of the document that follows by descending key, with the sets and sketches of both
+    (_own and _other: k, f), which are made once for a text.
 
     Quantiles of the keys, some of the keys themselves, bound buckets of about equal numbers of rows; the row
     that a bucket needs from the one below is that with the bound as key, and goes to both. So each text is moved
@@ -196,7 +197,11 @@ def with_next(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     dealt = rows.selectExpr("_key", "_text", "inline(" + let("p", placed, f"concat(array({own}), filter({ghosts}, v -> v IS NOT NULL))") + ")")
     # By descending key, nulls last, then ghosts: first that of the bound, then that of the greatest key.
     order = Window.partitionBy("b").orderBy("g", F.col("_key").desc_nulls_last(), F.xxhash64("_text"), "_text")
-    return dealt.withColumn("_next", F.lead("_text").over(order)).filter("g = 0").select("_key", "_text", F.coalesce("_next", "_text").alias("_next"))
+    made = let("a", digests("_text"), f"named_struct('k', a, 'f', {sketch('a', CELLS)})")
+    # Dealt out first, so that texts move and not what is made of them.
+    dealt = dealt.repartition("b").withColumn("_own", F.expr(made))
+    dealt = dealt.withColumn("_next", F.lead("_text").over(order)).withColumn("_other", F.lead("_own").over(order)).filter("g = 0")
+    return dealt.select("_key", "_text", F.coalesce("_next", "_text").alias("_next"), "_own", F.coalesce("_other", "_own").alias("_other"))
 
 
 def versions(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -207,11 +212,11 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets:
     """
     if buckets is None:
         buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(docs, key, text, buckets).selectExpr("_key", "_text", "_next", "length(_text) AS _n")
-    rows = rows.selectExpr("_key", "_n", "_text", "_next", "concat(substring(_text, 1, _n - _n div 2), substring(_next, 1, _n div 2)) AS _edited")
+    rows = with_next(docs, key, text, buckets).selectExpr("*", "length(_text) AS _n")
+    rows = rows.selectExpr("_key", "_n", "_own", "_other", "concat(substring(_text, 1, _n - _n div 2), substring(_next, 1, _n div 2)) AS _edited")
     # The names must not be those that the parts use for themselves.
-    keys = ", ".join(f"'{n}', {digests(x)}" for n, x in zip("abc", ("_text", "_edited", "_next")))
-    sketches = ", ".join(f"'{n}', {sketch(f'sets.{n}', CELLS)}" for n in "abc")
+    keys = f"'a', _own.k, 'b', {digests('_edited')}, 'c', _other.k"
+    sketches = f"'a', _own.f, 'b', {sketch('sets.b', CELLS)}, 'c', _other.f"
     differ = ", ".join(f"'{n}', {difference('sets.a', f'sets.{n}', 'made.a', f'made.{n}')}" for n in "bc")
     result = f"""named_struct('fingerprint', {written('made.a', 'sets.a')}, 'edited_fingerprint', {written('made.b', 'sets.b')},
         'near_edited', {likeness('sets.a', 'sets.b', 'differ.b')}, 'near_next', {likeness('sets.a', 'sets.c', 'differ.c')},
