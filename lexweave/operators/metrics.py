@@ -13,6 +13,11 @@ def scored(counts: DataFrame) -> DataFrame:
     return counts.select("*", *T.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def rounded(rated: DataFrame, digits: int = 3) -> DataFrame:
+    """Ratings as reports show them; ties go to the even digit."""
+    return rated.withColumns({c: F.bround(c, digits) for c in ("precision", "recall", "f1")})
+
+
 def micro(counts: DataFrame, by: list[str]) -> DataFrame:
     """Counts summed over the documents first, then rated."""
     return scored(counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -123,6 +124,42 @@ def decoded(raw: F.Column, declared: F.Column, detect: Callable[[bytes], str] |
     return run(raw, declared)
 
 
+def over_network(url: str) -> tuple[bytes, str]:
+    """Bytes and content type of a url."""
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=30) as r:
+        return r.read(), r.headers.get("Content-Type", "")
+
+
+def fetched(entries: DataFrame, get: Callable[[str], tuple[bytes, str]] = over_network, extract: Callable[[bytes], list[str]] | None = None, threshold: int = 50) -> DataFrame:
+    """Manifest entries (url, name, doc_type) with kind, text, status (ok, short, empty, error) and error.
+
+    get() runs on the executors, a row at a time, and what it raises is kept as the row's error; with extract() PDF files are read, by the url's ending or the
+    content type, and pages otherwise, by their main part."""
+    local = entries.withColumn("name", T.safe_filename(T.strip(F.col("name"))))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in local.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url in b["url"]:
+                raw = said = pages = error = None
+                try:
+                    raw, said = get(url)
+                    if extract is not None and (url.lower().endswith(".pdf") or "pdf" in (said or "").lower()):
+                        pages = "\n\n".join(t for t in extract(raw) if t)
+                except Exception as e:  # what get() raises is its own
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((raw, said, pages, error))
+            yield b.assign(**{n: [r[i] for r in rows] for i, n in enumerate(("_raw", "_said", "_pdf", "error"))})
+
+    got = local.mapInPandas(run, f"{schema}, _raw binary, _said string, _pdf string, error string")
+    declared = F.regexp_extract(F.lower(F.coalesce("_said", F.lit(""))), r"charset=([\w-]+)", 1)
+    kind = T.url_kind(F.col("url"), F.col("_said"))
+    text = T.clean_text(F.coalesce("_pdf", T.page_text(decoded(F.col("_raw"), declared))))
+    rows = got.withColumn("kind", kind).withColumn("text", F.when(F.col("error").isNull(), text))
+    return rows.withColumn("status", F.when(F.col("error").isNotNull(), "error").otherwise(T.route(F.col("text"), threshold))).drop("_raw", "_said", "_pdf")
+
+
 def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
     """path and text of PDF files, by a function from a file's bytes to its pages' texts, which is not part of this
     engine. Pages are joined by a blank line; a file without text is empty. Files that aren't there fail the read."""

@@ -7,9 +7,11 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave.__main__ import main
 from lexweave.functions import vocabulary as V
 from lexweave.operators import annotate as A
 from lexweave.operators import entities as E
+from lexweave.operators import metrics as S
 from lexweave.operators import pipelines as P
 from lexweave.operators import relations as R
 from lexweave.plans import queries, registry
@@ -226,3 +228,41 @@ def test_defaults(spark):
     got = readers.with_default(rows, spark.createDataFrame([("x", "known")], "k string, type string"), "k", "type")
     assert sorted((str(r.k), r.type) for r in got.collect()) == [("None", "unknown"), ("x", "known"), ("y", "unknown")]
     assert got.filter(F.col("type").isNull()).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    texts = tmp_path / "texts"
+    texts.mkdir()
+    (texts / "d1.txt").write_text("[SOURCE] x\n" + "-" * 20 + "\n" + TEXTS[1])
+    (texts / "d2.txt").write_text(TEXTS[2])
+    (tmp_path / "urls.txt").write_text("u | d1 | депозитный_продукт\n")
+    gold = {"documents": [{"id": "d1", "title": "D", "source": "d1.txt", "entities": [{"id": "e1", "text": "Банк России", "class": "Actor"}, {"id": "e2", "text": "вклад", "class": "FinancialProduct"}], "relations": [{"id": "r1", "subject": "e1", "relation": "issuedBy", "object": "e2"}]}]}
+    (tmp_path / "gold.json").write_text(json.dumps(gold, ensure_ascii=False))
+    main(["--parsed", str(texts), "--manifest", str(tmp_path / "urls.txt"), "--gold", str(tmp_path / "gold.json"), "--out", str(tmp_path / "out"), "--eval", "--quiet"], spark)
+    records = {r["id"]: r for r in (json.loads(x.value) for x in spark.read.text(str(tmp_path / "out" / "results.json")).collect())}
+    assert records.keys() == {"d1", "d2"} and records["d1"]["entities"][0]["text"] == "банк россии"
+    overall = [m for m in (json.loads(x.value) for x in spark.read.text(str(tmp_path / "out" / "eval.json")).collect())]
+    assert len(overall) == 2 and all(m["entity_partial"]["tp"] == 2 and m["entity_partial"]["fn"] == 0 and m["relation"]["tp"] == 1 for m in overall)
+    main(["--parsed", str(texts), "--out", str(tmp_path / "one"), "--doc", "d2", "--quiet"], spark)
+    assert sorted(p.name for p in (tmp_path / "one").iterdir()) == ["d2.json", "ontology.owl", "ontology.ttl"]
+
+
+def test_fetching(spark):
+    def get(url):
+        if "bad" in url:
+            raise OSError("no route")
+        if url.endswith("doc"):
+            return b"one\ftwo", "application/pdf"
+        return "<main>".encode() + "".join(f"<p>строка {i}</p>" for i in range(7)).encode("cp1251") + b"</main>", "text/html; charset=windows-1251"
+
+    entries = spark.createDataFrame([("http://a/bad", "n 1", "t"), ("http://a/doc", "n/2", "t"), ("http://a/page", "n3", "t")], "url string, name string, doc_type string")
+    got = {r.name: r for r in readers.fetched(entries, get, lambda b: b.decode().split("\f"), 5).collect()}
+    assert (got["n_1"].status, got["n_1"].error, got["n_1"].text) == ("error", "OSError: no route", None)
+    assert (got["n_2"].kind, got["n_2"].text, got["n_2"].status) == ("pdf", "one\n\ntwo", "short")
+    assert (got["n3"].kind, got["n3"].status) == ("web", "ok") and got["n3"].text.startswith("строка 0\n")
+
+
+def test_ratings_as_reports_show_them(spark):
+    rows = spark.createDataFrame([(1, 15, 15), (8, 209, 53), (0, 0, 0)], "tp long, fp long, fn long")
+    got = [(r.precision, r.recall, r.f1) for r in S.rounded(S.scored(rows)).collect()]
+    assert got == [(0.062, 0.062, 0.062), (0.037, 0.131, 0.058), (0.0, 0.0, 0.0)]
