@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +21,6 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WORDS_IN_SHINGLE = 5
 SIMILARITY = 0.8
 
-# Functions travel to the executors by value: they need numpy and the like there, not this package.
-cloudpickle.register_pickle_by_value(sys.modules["lexweave"])
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
