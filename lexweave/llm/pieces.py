@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from lexweave.llm.common import rowwise
 
 SPACE = "▁"
-#: Words with their ids, and pairs of pieces, that a worker remembers at most.
-REMEMBERED, PAIRS = 300_000, 300_000
+#: Words with their ids, in each of two generations, and pairs of pieces that a worker remembers at most.
+REMEMBERED, PAIRS = 200_000, 600_000
 
 
 class Vocabulary:
@@ -64,17 +65,24 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class Words(dict):
-    """The ids of each word as bytes, remembered for shorter ones until there are too many."""
+    """The ids of each word as bytes, remembered for shorter ones. When there are too many, they become the older generation, and those of it
+    that are met again come back; the older one before is forgotten."""
 
     def __init__(self, encode):
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        found = b"".join([i.to_bytes(4, "little") for i in self.encode(text)])
-        if len(text) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[text] = found
+        found = self.older.get(text)
+        if found is None:
+            ids = self.encode(text)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(text) > 64:
+                return found
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[text] = found
         return found
 
 
@@ -83,12 +91,16 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.compatible: dict[tuple[str, str], bool] = {}
         self.words = Words(self.ids)
         self.letters = {p for p in v.pieces if len(p) == 1}
+        #: Texts and lengths of the pieces by a number, the first being that of no piece; ids by the same number.
+        self.texts = ["", *v.pieces]
+        self.sizes = [len(t) for t in self.texts]
+        self.id_of = [0, *(i for i, _ in v.pieces.values())]
+        self.compatible: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for text in v.pieces:
-            self.automaton.add_word(text, len(text))
+        for k, text in enumerate(self.texts[1:], 1):
+            self.automaton.add_word(text, k)
         self.automaton.make_automaton()
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in v.pieces)
 
@@ -107,33 +119,36 @@ class Encoder:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether encoding left + right gives the two pieces again; without a left one, whether right's text gives right."""
-        key = (left, right)
+    def fits(self, left: int, right: int) -> bool:
+        """Whether encoding the texts of both gives the two pieces again; without a left one (0), whether right's text gives right."""
+        key = left * len(self.texts) + right
         known = self.compatible.get(key)
         if known is None:
             if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
-            self.compatible[key] = known = self.merge(list(left + right)) == ([left, right] if left else [right])
+            a, b = self.texts[left], self.texts[right]
+            self.compatible[key] = known = self.merge(list(a + b)) == ([a, b] if left else [b])
         return known
 
     def known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
-        last: list[str] = [""] * (len(text) + 1)
-        known = self.compatible.get
-        for at, size in self.automaton.iter(text):
-            end, start = at + 1, at + 1 - size
-            left = last[start]
-            if not last[end] and (left or not start):
-                piece = text[start:end]
-                fit = known((left, piece))
+        # The table: the last piece of each prefix, -1 where there is none yet.
+        last = [-1] * (len(text) + 1)
+        last[0] = 0
+        known, sizes, n = self.compatible.get, self.sizes, len(self.texts)
+        for at, piece in self.automaton.iter(text):
+            end = at + 1
+            if last[end] < 0 and (left := last[end - sizes[piece]]) >= 0:
+                fit = known(left * n + piece)
                 if self.fits(left, piece) if fit is None else fit:
                     last[end] = piece
-        ids, at = [], len(text)
+        ids, at, id_of = [], len(text), self.id_of
         while at:
-            ids.append(self.v.pieces[last[at]][0])
-            at -= len(last[at])
-        return ids[::-1]
+            piece = last[at]
+            ids.append(id_of[piece])
+            at -= sizes[piece]
+        ids.reverse()
+        return ids
 
     def ids(self, text: str) -> list[int]:
         """Ids of any text with marks for spaces: runs of known characters by the table, the others as bytes."""
