@@ -84,15 +84,8 @@ def agents(docs: DataFrame, extract: Callable[[DataFrame], DataFrame], classify:
 
 def evaluated(entities: DataFrame, relations: DataFrame, gold_entities: DataFrame, gold_relations: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Counts and ratings by document and level (entity_partial, entity_strict, relation), and the same over all. Documents without gold
-    entities or relations of their own aren't judged. The tables are used several times and written to the scratch folder first.
+    entities or relations of their own aren't judged. The counts are written to the scratch folder, as both results need them.
 
     Tables: key, ord, text, class; and key, ord, subject_text, relation, object_text."""
-    entities, relations, gold_entities, gold_relations = map(materialize, (entities, relations, gold_entities, gold_relations))
-    known = gold_entities.select(key).unionByName(gold_relations.select(key)).distinct()
-    e, r = M.evaluable(entities, known, key), M.evaluable(relations, known, key)
-    levels = {"entity_partial": M.partial(gold_entities, e, key), "entity_strict": M.strict(gold_entities, e, key)[0], "relation": M.triples(gold_relations, r, key)[0]}
-    each = None
-    for name, counts in levels.items():
-        rows = counts.withColumn("level", F.lit(name))
-        each = rows if each is None else each.unionByName(rows)
-    return S.scored(each), S.micro(each, ["level"])
+    each = materialize(M.all_levels(gold_entities, entities, gold_relations, relations, key))
+    return S.scored(each.select(key, "tp", "fp", "fn", "level")), S.micro(each, ["level"])
