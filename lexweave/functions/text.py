@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lexweave.functions import vocabulary as V
 
 TOKEN = "[а-яёА-ЯЁa-zA-Z]+"
+#: White space as (?U)\\s has it; Python's \\s has four control characters more.
+WHITE = tuple("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(chr(c) for c in range(0x2000, 0x200B))
 
 
 def strip(c: Column) -> Column:

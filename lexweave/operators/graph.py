@@ -32,6 +32,8 @@ def _triple(s, p, o, kind: str = "uri", lang: str | None = None):
 def entity_triples(entities: DataFrame, agent: bool = False) -> DataFrame:
     """Of entities (text, class, doc_type and, for agents, confidence): a product is a class under its document type's
     parent, another entity an instance of its class."""
+    # Equal entities of many documents are one before anything is made of them.
+    entities = entities.select("text", "class", "doc_type", *(["confidence"] if agent else [])).distinct()
     name, product = T.uri(F.col("text")), F.col("class") == "FinancialProduct"
     parent = F.concat(F.lit("fin:"), T.mapped(F.col("doc_type"), V.PARENTS, F.lit("FinancialProduct")))
     found = [
@@ -46,6 +48,7 @@ def entity_triples(entities: DataFrame, agent: bool = False) -> DataFrame:
 
 def relation_triples(relations: DataFrame, evidence: bool = False) -> DataFrame:
     """Of triples (subject, relation, object, evidence) by text; with a node for the evidence, if asked for."""
+    relations = relations.select("subject", "relation", "object", *(["evidence"] if evidence else [])).distinct()
     s, node = T.uri(F.col("subject")), T.evidence_id(F.col("subject"), F.col("relation"))
     found = [_triple(s, F.concat(F.lit("fin:"), F.col("relation")), T.uri(F.col("object")))]
     if evidence:
