@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from lexweave.functions import text as T
 from lexweave.functions import vocabulary as V
+from lexweave.scratch import even_tasks
 
 
 def _one_per(df: DataFrame, keys: list[str], pick) -> DataFrame:
@@ -187,7 +188,7 @@ def mentioned(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: st
     The documents are dealt out by key once and each is read in its own row, where nothing but the mentions is made of it. With more phrases than `broadcast_rows` the mentions
     are joined by shuffle and brought together by key."""
     listed = _listed(phrases, broadcast_rows)
-    rows = docs.select(F.col(key), F.col(text).alias("text")).repartition(key)
+    rows = docs.select(F.col(key), F.col(text).alias("text")).repartition(even_tasks(docs.sparkSession), key)
     if listed is None:
         hits = _joined_hits(docs, phrases, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("neg_len"), "pos", "phrase", "label", "start", "end"))).alias("hits"))
         if apart:
